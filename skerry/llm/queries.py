@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode_digests
 from .packing import pack
+from .quality import classify
 from .topk import top_k
+from .toxicity import score
 from .url_rules import filter_urls
 
 
@@ -26,6 +28,15 @@ def op2_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024.0)
 
 
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), host="source", path="lang")
+
+
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(_table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json")
 
@@ -34,7 +45,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nnls_packing, op2_segment_topk, op9_bpe_roundtrip, op10_url_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nnls_packing, op2_segment_topk, op7_site_quality, op8_toxic_segments, op9_bpe_roundtrip, op10_url_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_segment_topk": """
