@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode_digests
+from .media import media_columns
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .quality import classify
@@ -33,6 +34,10 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=5, percent=85)
 
 
+def op5_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), host="source", path="lang")
 
@@ -50,7 +55,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nnls_packing, op2_segment_topk, op3_lsh_forest, op7_site_quality, op8_toxic_segments, op9_bpe_roundtrip, op10_url_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nnls_packing, op2_segment_topk, op3_lsh_forest, op5_chunked_media, op7_site_quality, op8_toxic_segments, op9_bpe_roundtrip, op10_url_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_segment_topk": """
