@@ -214,14 +214,11 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
     all_toxic, all_clean = max(sums["toxic0"] + sums["toxic1"], 1), max(sums["clean0"] + sums["clean1"], 1)
     # Only units of toxic documents, and words under their stems, can matter; the sample of rows bounds their number.
     suspect = counts.where((F.col("toxic") > PER_TEXT) & (F.col("toxic") * all_clean > 2 * F.col("clean") * all_toxic))
-    stems = [x["unit"] for x in suspect.where(F.col("unit").contains(">")).select("unit").collect()]
-    under = F.lit(False)
-    for n in STEMS:
-        these = [s for s in stems if s.startswith(f"{n}>")]
-        if these:
-            stem = F.concat(F.lit(f"{n}>"), F.regexp_replace("unit", "^[0-9]>", "").substr(1, n))
-            under = under | F.array_contains(F.lit(these), stem)
-    table = suspect.union(counts.where(under)).distinct().toPandas().sort_values("unit")
+    stems = F.broadcast(suspect.where(F.col("unit").contains(">")).select(F.col("unit").alias("stem")))
+    letters = F.regexp_replace("unit", "^[0-9]>", "")
+    above = F.array(*(F.when(F.length(letters) >= n, F.concat(F.lit(f"{n}>"), letters.substr(1, n))) for n in STEMS))
+    under = counts.withColumn("stem", F.explode(above)).join(stems, "stem", "left_semi").select(counts.columns)
+    table = suspect.union(under).distinct().toPandas().sort_values("unit")
 
     def known(t: str, c: str, n_toxic: int, n_clean: int) -> dict[str, float]:
         enough = table[table[t] + table[c] > 0]
