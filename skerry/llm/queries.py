@@ -12,6 +12,7 @@ from .media import media_columns
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .quality import classify
+from .repeated_spans import removal_digests
 from .topk import top_k
 from .toxicity import score
 from .url_rules import filter_urls
@@ -34,6 +35,10 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=5, percent=85)
 
 
+def op4_lyndon_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(_table(spark, sf_dir, "documents"), span=400)
+
+
 def op5_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nnls_packing, op2_segment_topk, op3_lsh_forest, op5_chunked_media, op7_site_quality, op8_toxic_segments, op9_bpe_roundtrip, op10_url_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nnls_packing, op2_segment_topk, op3_lsh_forest, op4_lyndon_suffix_dedup, op5_chunked_media, op7_site_quality, op8_toxic_segments, op9_bpe_roundtrip, op10_url_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_segment_topk": """
