@@ -1,8 +1,61 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from documents to packed token sequences, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return documents with all their columns.
+run() writes what a stage returns to the shared folder and hands it to the next, as a cluster would between jobs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skerry.llm.common import materialise
+from skerry.llm.near_duplicates import drop_near_duplicates
+from skerry.llm.packing import pack
+from skerry.llm.quality import keep_good
+from skerry.llm.repeated_spans import drop_repeated
+from skerry.llm.toxicity import keep_harmless
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, with their site's posterior, rejects go (operator 7)."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), host="source", path="lang")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with significant toxic passages go (operator 8)."""
+    return keep_harmless(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more (operator 3)."""
+    return drop_near_duplicates(docs, size=5, percent=80)
+
+
+def repeated_span_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes, shorter than fifty words, that start more than once go from the texts; documents left without text go (operator 4)."""
+    return drop_repeated(docs, span=200)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of at most 1024 ids (operator 1)."""
+    return pack(docs, window=1024, tokenizer="byte_bpe_50k.json", separator=0)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("repeated spans", repeated_span_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL expresses neither the trained filters nor the packing plan; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

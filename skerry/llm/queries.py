@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode_digests
+from .html_blocks import extract_text
 from .media import media_columns
 from .near_duplicates import near_duplicates
 from .packing import pack
@@ -43,6 +44,10 @@ def op5_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op6_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), host="source", path="lang")
 
@@ -60,7 +65,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nnls_packing, op2_segment_topk, op3_lsh_forest, op4_lyndon_suffix_dedup, op5_chunked_media, op7_site_quality, op8_toxic_segments, op9_bpe_roundtrip, op10_url_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nnls_packing, op2_segment_topk, op3_lsh_forest, op4_lyndon_suffix_dedup, op5_chunked_media, op6_crf_main_text, op7_site_quality, op8_toxic_segments, op9_bpe_roundtrip, op10_url_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_segment_topk": """
