@@ -17,6 +17,8 @@ from .suffix_array import suffix_array
 GRAM = 32
 #: Phrases of a context begin at the least hash among so many grams of so many bytes.
 PHRASE_WINDOW, PHRASE_GRAM = 17, 8
+#: Texts are hashed in slices of about so many bytes, each of which takes some hundred bytes of memory for a while.
+SLICE = 1 << 20
 #: A task builds one suffix array over groups of about so many bytes.
 ARRAY_BYTES = 2 << 20
 #: Groups of more distinct contexts are judged window by window, counted by Spark with map-side sums, in no one task.
@@ -94,12 +96,16 @@ def side_hashes(rolling: Rolling, anchor: np.ndarray, first: np.ndarray, last: n
 
 def _halves(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             data, offsets = utf8(batch.column("text"))
             rolling, anchor, first, last, text = anchor_runs(data, offsets, span)
             left, has_left, right, has_right = side_hashes(rolling, anchor, first, last, span)
             hashes, owner = np.concatenate([left[has_left], right[has_right]]), np.concatenate([text[has_left], text[has_right]])
-            order = np.argsort(owner, kind="stable")
+            order = np.lexsort((hashes, owner))
+            # Of a half that stands in a text more than twice, two say as much.
+            same = np.zeros(len(order), bool)
+            same[2:] = (hashes[order][2:] == hashes[order][:-2]) & (owner[order][2:] == owner[order][:-2])
+            order = order[~same]
             at = np.searchsorted(owner[order], np.arange(len(offsets)))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), lists], ["k1", "k2", "halves"])
@@ -114,7 +120,7 @@ def _contexts(span: int):
     """The contexts of the runs with a repeated half. A context that stands in its text before comes without its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             data, offsets = utf8(batch.column("text"))
             rolling, anchor, first, last, text = anchor_runs(data, offsets, span)
             left, has_left, right, has_right = side_hashes(rolling, anchor, first, last, span)
@@ -280,10 +286,12 @@ def repeated_ranges(documents: DataFrame, span: int = 400) -> DataFrame:
     halves = rows.mapInArrow(_halves(span), "k1 long, k2 long, halves array<long>")
     texts = materialise(halves.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("halves").alias("halves")), "halves")
     each = texts.select("k1", "k2", F.explode("halves").alias("half"))
-    often = each.groupBy("half").count().where("count > 1").select("half")
+    often = materialise(each.groupBy("half").count().where("count > 1").select("half"), "often")
     shared = each.join(often, "half").groupBy("k1", "k2").agg(F.collect_set("half").alias("halves"))
     shared = materialise(shared.join(texts.select("k1", "k2", "copies"), ["k1", "k2"]), "shared")
-    chosen = rows.join(sized(shared, 600), ["k1", "k2"])
+    # Texts without a repeated half stay out of the shuffle while the others' keys are few enough to broadcast.
+    some = rows.join(sized(shared.select("k1", "k2"), 24), ["k1", "k2"], "left_semi")
+    chosen = some.join(shared.hint("shuffle_merge"), ["k1", "k2"])
     several = chosen.where("copies > 1").groupBy("k1", "k2").agg(F.first("halves").alias("halves"), F.first("copies").alias("copies"), F.first("text").alias("text"))
     once = chosen.where("copies = 1").select("k1", "k2", "halves", "copies", "text").union(several)
     contexts = materialise(once.mapInArrow(_contexts(span), CONTEXT), "contexts")
@@ -302,7 +310,26 @@ def repeated_ranges(documents: DataFrame, span: int = 400) -> DataFrame:
         twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
         parts = parts.union(windows.where("NOT multiple").join(twice, ["w1", "w2"]).select("k1", "k2", F.col("start").alias("lo"), (F.col("start") + span).alias("hi")))
     copied = texts.where("copies > 1").select("k1", "k2", F.lit(0).cast("long").alias("lo"), F.lit(1 << 62).alias("hi"))
-    return materialise(parts.union(copied).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges")), "ranges")
+    gathered = parts.union(copied).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
+    return materialise(gathered.mapInArrow(_merged, "k1 long, k2 long, ranges array<struct<lo:long,hi:long>>"), "ranges")
+
+
+def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges with those that overlap or touch joined."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in ranges:
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    for batch in batches:
+        lists = [[{"lo": a, "hi": b} for a, b in merge([(x["lo"], x["hi"]) for x in ranges])] for ranges in batch.column("ranges").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(lists, kind)], ["k1", "k2", "ranges"])
 
 
 def cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -344,7 +371,7 @@ def _with_ranges(documents: DataFrame, columns: list[Column], span: int) -> Data
     ranges = repeated_ranges(documents, span).withColumnsRenamed({"k1": "_skerry_k1", "k2": "_skerry_k2", "ranges": "_skerry_ranges"})
     k1, k2 = text_key("text")
     rows = documents.select(*columns, k1.alias("_skerry_k1"), k2.alias("_skerry_k2"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_skerry_text"))
-    return rows.join(sized(ranges, 300), ["_skerry_k1", "_skerry_k2"], "left").drop("_skerry_k1", "_skerry_k2")
+    return rows.join(sized(ranges, 160), ["_skerry_k1", "_skerry_k2"], "left").drop("_skerry_k1", "_skerry_k2")
 
 
 def removal_digests(documents: DataFrame, span: int = 400) -> DataFrame:
