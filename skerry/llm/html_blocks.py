@@ -362,8 +362,10 @@ def made_page(r: random.Random) -> tuple[list[Block], list[int]]:
 
 def train(pages: DataFrame, labelled_pages: int = LABELLED_PAGES, made_pages: int = MADE_PAGES) -> Field:
     """Fit on pages that their own markup labels, at most `labelled_pages` of the table, and on made pages of other layouts."""
-    sample = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where(F.octet_length("html") <= LABELLED_BYTES)
-    sample = sample.orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(labelled_pages).collect()
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where(F.octet_length("html") <= LABELLED_BYTES)
+    key = [F.xxhash64("page_id").alias("a"), F.xxhash64("html").alias("b")]
+    chosen = F.broadcast(rows.select(*key).orderBy("a", "b").limit(labelled_pages).distinct())  # keys only, as many as the bound
+    sample = rows.select(*key, "html").join(chosen, ["a", "b"]).dropDuplicates(["a", "b"]).orderBy("a", "b").select("html").collect()
     known = [x for x in (labelled(row["html"]) for row in sample) if x]
     r = random.Random(6)
     return fit_field(known + [made_page(r) for _ in range(made_pages)])

@@ -45,7 +45,7 @@ class Scores(dict):
 
     def __missing__(self, word: str) -> float:
         score = next((self.known[u] for u in units(word) if u in self.known), -GAP)
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = score
         return score
@@ -138,7 +138,7 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word, n in Counter(WORD.findall(text.lower())).items():
                 for unit in units(word):
                     counts.setdefault(unit, [0, 0, 0, 0])[column] += min(n, PER_TEXT)
-        if len(counts) > 300_000:
+        if len(counts) > 200_000:
             yield flush()
     yield flush()
 
