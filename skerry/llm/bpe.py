@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, worker_cache
+from .common import slices, small_batches, worker_cache
 
 #: Characters whose normal form, lower case and class need the library's own tables.
 UNUSUAL = "[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]"
@@ -179,6 +179,7 @@ def _run(name: str, digests: bool):
 
 
 def _input(documents: DataFrame) -> DataFrame:
+    small_batches(documents)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

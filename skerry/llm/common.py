@@ -23,6 +23,26 @@ BROADCAST_BYTES = 24 << 20
 SLICE_BYTES = 1 << 20
 
 
+#: Rows, and about how many bytes, of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def small_batches(df: DataFrame) -> SparkSession:
+    """The session of df, set to send texts to Python in small Arrow batches; settings that are smaller already stay.
+
+    A batch is held whole by the JVM, outside its heap, and by the worker. The default of 10,000 rows is a whole partition of documents.
+    """
+    spark = df.sparkSession
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            held = int(spark.conf.get(key).rstrip("b"))
+        except Exception:  # noqa: BLE001  a version of Spark without the setting
+            continue
+        if not 0 < held <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it; one of our own only where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

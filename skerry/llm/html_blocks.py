@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: The model learns from at most so many pages of the table, those with the least hash of their id and of at most LABELLED_BYTES, and so many made ones.
 LABELLED_PAGES, LABELLED_BYTES, MADE_PAGES = 200, 60_000, 500
@@ -393,6 +393,7 @@ def extract_text(pages: DataFrame, labelled_pages: int = LABELLED_PAGES, made_pa
     where they lie, whole, without a shuffle. A null or empty html, or one without an article, gives the empty text. A line
     break element counts as white space. Repeated rows give repeated rows; only page_id, url and html are read.
     """
+    small_batches(pages)
     model = train(pages, labelled_pages, made_pages)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract(model), "page_id long, url string, text string, n_chars long")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized, slices, text_key, utf8
+from .common import materialise, sized, slices, small_batches, text_key, utf8
 
 #: Payloads are filled up with spaces to a positive multiple of so many bytes.
 FRAME = 192
@@ -178,6 +178,7 @@ def store(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     borrows what from whom. Only digests are shuffled to find that out; texts are read a second time to store them, joined
     with the lists of borrowed places, which go by broadcast while they are small and else by shuffle. copied rows: (doc_id, k1, k2) of texts that occur in several rows.
     """
+    small_batches(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key("text"), F.col("text").cast("string").alias("text"))
     listed = materialise(rows.mapInArrow(_digests, "doc_id long, k1 long, k2 long, chunks array<struct<digest:binary,length:int>>"), "digests")
     copies = listed.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")

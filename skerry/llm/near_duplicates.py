@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, sized, slices, text_key, utf8
+from .common import materialise, mix64, sized, slices, small_batches, text_key, utf8
 from .components import connected_components
 from .words import shingles
 
@@ -186,7 +186,7 @@ def _first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, k1, k2 (the text's key), n_shingles, node and component_id of every row."""
-    spark = documents.sparkSession
+    spark = small_batches(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key("text"), F.col("text").cast("string").alias("text"))
     sketched = materialise(rows.mapInArrow(_sketch(size), "doc_id long, k1 long, k2 long, n_shingles long, node binary, signature binary"), "sketches")
     # Equal sets are one node; its text is any of theirs, so the least key.

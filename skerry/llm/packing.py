@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, worker_cache
+from .common import materialise, slices, small_batches, worker_cache
 
 #: A text with these characters goes to the tokenizers library; for the others both libraries agree.
 UNUSUAL = "[\x00-\x08\x0b-\x1f\x7f-\xa0Ԁ-\U0010ffff]"
@@ -230,7 +230,7 @@ def pack(documents: DataFrame, window: int = 1024, tokenizer: str = "byte_bpe_50
     A null or empty text is the separator alone. Repeated rows are packed once each. A null doc_id stays null. An empty
     table gives an empty table. Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
-    spark = documents.sparkSession
+    small_batches(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = materialise(rows.mapInArrow(_tokenise(tokenizer, window, separator), TOKEN_SCHEMA), "tokens")
     by_part = materialise(tokens.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.size("full_crc32")).alias("full")), "token_counts")

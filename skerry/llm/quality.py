@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized, slices, utf8
+from .common import materialise, sized, slices, small_batches, utf8
 from .words import LOWER, split_words, word_hashes
 
 #: The classifier learns from at most so many labelled rows, those with the least hash of doc_id.
@@ -87,6 +87,7 @@ def _text_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     """Fit on at most `rows` labelled documents. Labels: doc_id, quality; rows with nulls are left out, of several for an id the least counts."""
+    small_batches(documents)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("label"))
     known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(rows))  # bounded by rows
     taken = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(known, "id")
@@ -107,11 +108,11 @@ def _append_logit(model: Model, text_column: str):
     return run
 
 
-def _evidence(documents: DataFrame, columns: list[Column], model: Model) -> DataFrame:
-    """The chosen columns with `_skerry_logit`: the classifier's evidence for good quality; the last chosen column is the text."""
+def _evidence(documents: DataFrame, columns: list[Column], model: Model, text: str = "text") -> DataFrame:
+    """The chosen columns, of which one is the text, with `_skerry_logit`: the classifier's evidence for good quality."""
     chosen = documents.select(*columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
-    return chosen.mapInArrow(_append_logit(model, chosen.columns[-1]), f"{kinds}, `_skerry_logit` double")
+    return chosen.mapInArrow(_append_logit(model, text), f"{kinds}, `_skerry_logit` double")
 
 
 def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
@@ -172,7 +173,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, host: str = "source", pat
     model = train(documents, labels, labelled_rows)
     _, sites, centre = _sites(documents, F.col(host), F.col(path), model)
     sites = sized(sites.withColumnsRenamed({"host": "_skerry_host", "path": "_skerry_path", "site_logit": "_skerry_site"}), 100)
-    scored = _evidence(documents, [*(F.col(f"`{c}`") for c in documents.columns), F.col("text").cast("string").alias("_skerry_text")], model)
+    scored = _evidence(documents, [F.col(f"`{c}`") for c in documents.columns], model)
     joined = scored.join(sites, F.col(host).cast("string").eqNullSafe(F.col("_skerry_host")) & F.col(path).cast("string").eqNullSafe(F.col("_skerry_path")), "left")
     p = 1 / (1 + F.exp(-(F.col("_skerry_logit") + F.col("_skerry_site") - centre)))
     return joined.where(p >= threshold).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import inner_ranges, materialise, mix64, sized, slices, text_key, utf8
+from .common import inner_ranges, materialise, mix64, sized, slices, small_batches, text_key, utf8
 from .suffix_array import suffix_array
 
 #: Bytes of the grams whose least hash anchors a string.
@@ -282,6 +283,7 @@ def repeated_ranges(documents: DataFrame, span: int = 400) -> DataFrame:
     """
     if span < 128:
         raise ValueError("span must be 128 bytes at least")
+    small_batches(documents)
     rows = documents.select(*text_key("text"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= span)
     halves = rows.mapInArrow(_halves(span), "k1 long, k2 long, halves array<long>")
     texts = materialise(halves.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("halves").alias("halves")), "halves")
@@ -348,21 +350,25 @@ def cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def _removed(digests: bool, names: list[str]):
+    """Rows with text and _skerry_ranges, as digests of what remains or as the columns names with text cut and _skerry_removed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_skerry_text"):
-            data, offsets = utf8(batch.column("_skerry_text"))
+        for batch in slices(batches, "text", SLICE):
+            column = batch.column(batch.schema.get_field_index("text"))
+            data, offsets = utf8(column)
             whole = data.tobytes()
             texts, removed, runs = [], [], []
-            for a, b, ranges in zip(offsets[:-1], offsets[1:], batch.column("_skerry_ranges").to_pylist(), strict=True):
-                kept, n = cut(whole[a:b], [(x["lo"], x["hi"]) for x in ranges or ()])
-                texts.append(hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "ignore"))
+            for a, b, ranges in zip(offsets[:-1], offsets[1:], batch.column(batch.schema.get_field_index("_skerry_ranges")).to_pylist(), strict=True):
+                kept, n = cut(whole[a:b], [(x["lo"], x["hi"]) for x in ranges]) if ranges else (whole[a:b], 0)
+                texts.append(hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "ignore") if n else None)
                 removed.append(int(b - a) - len(kept))
                 runs.append(n)
             if digests:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
             else:
-                changed = pa.array([t if r else None for t, r in zip(texts, removed, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], changed, pa.array(removed, pa.int64())], [*names, "_skerry_kept", "_skerry_removed"])
+                gone = pa.array(removed, pa.int64())
+                new = pc.if_else(pc.greater(gone, 0), pa.array(texts, column.type), column)
+                yield pa.RecordBatch.from_arrays([*(new if c == "text" else batch.column(i) for i, c in enumerate(names)), gone], [*names, "_skerry_removed"])
 
     return run
 
@@ -370,7 +376,7 @@ def _removed(digests: bool, names: list[str]):
 def _with_ranges(documents: DataFrame, columns: list[Column], span: int) -> DataFrame:
     ranges = repeated_ranges(documents, span).withColumnsRenamed({"k1": "_skerry_k1", "k2": "_skerry_k2", "ranges": "_skerry_ranges"})
     k1, k2 = text_key("text")
-    rows = documents.select(*columns, k1.alias("_skerry_k1"), k2.alias("_skerry_k2"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_skerry_text"))
+    rows = documents.select(*columns, k1.alias("_skerry_k1"), k2.alias("_skerry_k2"))
     return rows.join(sized(ranges, 160), ["_skerry_k1", "_skerry_k2"], "left").drop("_skerry_k1", "_skerry_k2")
 
 
@@ -381,7 +387,7 @@ def removal_digests(documents: DataFrame, span: int = 400) -> DataFrame:
     another; strings never cross documents and are judged on the input. A null text is empty; texts under span bytes stay whole;
     repeated rows are copies of each other, so texts of span bytes or more go wholly; only doc_id and text are read.
     """
-    rows = _with_ranges(documents, [F.col("doc_id").cast("long").alias("doc_id")], span)
+    rows = _with_ranges(documents, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")], span)
     return rows.mapInArrow(_removed(True, []), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -393,7 +399,7 @@ def drop_repeated(documents: DataFrame, span: int = 400, drop_empty: bool = True
     names = documents.columns
     rows = _with_ranges(documents, [F.col(f"`{c}`") for c in names], span)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    rows = rows.select(*(F.col(f"`{c}`") for c in names), "_skerry_text", "_skerry_ranges").mapInArrow(_removed(False, names), f"{kinds}, _skerry_kept string, _skerry_removed long")
+    rows = rows.select(*(F.col(f"`{c}`") for c in names), "_skerry_ranges").mapInArrow(_removed(False, names), f"{kinds}, _skerry_removed long")
     if drop_empty:
-        rows = rows.where("_skerry_removed = 0 OR _skerry_kept <> ''")
-    return rows.select(*(F.when(F.col("_skerry_removed") > 0, F.col("_skerry_kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in names))
+        rows = rows.where("_skerry_removed = 0 OR text <> ''")
+    return rows.drop("_skerry_removed")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, small_batches
 
 #: The token model learns from at most so many labelled rows, those with the least hash of doc_id.
 LABELLED_ROWS = 30_000
@@ -196,6 +196,7 @@ def _solve_rate(values: np.ndarray, shares: np.ndarray) -> float:
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     """Learn from at most `rows` labelled documents that aren't held out. Labels: doc_id, toxic; nulls are left out, of several for an id the greatest counts."""
+    small_batches(documents)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("label"))
     known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(rows))  # bounded by rows
@@ -278,11 +279,11 @@ def _append(model: Model, text_column: str, passages: bool):
     return run
 
 
-def _scored(documents: DataFrame, columns: list[Column], model: Model, passages: bool) -> DataFrame:
+def _scored(documents: DataFrame, columns: list[Column], model: Model, passages: bool, text: str = "text") -> DataFrame:
     chosen = documents.select(*columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
     extra = ", `_skerry_passages` array<struct<start:long,end:long,score:double,p_value:double>>" if passages else ""
-    return chosen.mapInArrow(_append(model, chosen.columns[-1], passages), f"{kinds}, `_skerry_score` double{extra}")
+    return chosen.mapInArrow(_append(model, text, passages), f"{kinds}, `_skerry_score` double{extra}")
 
 
 def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
@@ -303,5 +304,5 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, label
 def keep_harmless(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """The documents, all their columns unchanged, whose score as of score() stays under the threshold."""
     model = train(documents, labels, labelled_rows)
-    rows = _scored(documents, [*(F.col(f"`{c}`") for c in documents.columns), F.col("text").cast("string").alias("_skerry_text")], model, False)
+    rows = _scored(documents, [F.col(f"`{c}`") for c in documents.columns], model, False)
     return rows.where(F.col("_skerry_score") < threshold).select(*(F.col(f"`{c}`") for c in documents.columns))
