@@ -9,6 +9,7 @@ from urllib.parse import urljoin, urlparse
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..sources.documents import title_of
 from ..sources.tables import table_cut
@@ -42,12 +43,12 @@ def links_of(html: str | None, base: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def extract_links(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([links_of(h, b or "") for h, b in zip(html, base, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract_title(html: pd.Series) -> pd.Series:
     return html.map(title_of)
 
@@ -68,7 +69,7 @@ def url_path(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
-RULES = "array<struct<agent:string,kind:string,pattern:string,delay:double>>"
+RULES = ArrayType(StructType().add("agent", "string").add("kind", "string").add("pattern", "string").add("delay", "double"))
 
 
 def robots_rules(text: str | None) -> list[dict]:

@@ -124,7 +124,8 @@ def dfs(edges: DataFrame, start, key: str | None = None) -> DataFrame:
                 seen.add(node)
                 order.append(node)
                 stack += [x for x in reversed(after[node]) if x not in seen]
-        out = pd.DataFrame({"id": order, "visit": range(1, len(order) + 1)})
+        ids = pd.Series(order) if order else rows["src"].iloc[:0]
+        out = pd.DataFrame({"id": ids, "visit": pd.Series(range(1, len(order) + 1), dtype="int64")})
         return out.assign(**{key: rows[key].iloc[0]})[[key, "id", "visit"]] if key else out
 
     if key:

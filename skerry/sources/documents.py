@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import file_stem, file_suffix, is_blank
 
@@ -111,22 +112,22 @@ def _pdf_text(content: bytes) -> str:
     return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(text_of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_title(html: pd.Series) -> pd.Series:
     return html.map(title_of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def markdown_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: text_of(markdown_to_html(t or "")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pdf_text(content: pd.Series) -> pd.Series:
     return content.map(_pdf_text)
 
