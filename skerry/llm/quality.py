@@ -92,9 +92,8 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
     known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(rows))  # bounded by rows
     taken = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(known, "id")
     found = taken.select("label", "text").mapInArrow(_text_features, "label int, x array<double>").toArrow()
-    x = np.array(found.column("x").to_pylist(), float).reshape(found.num_rows, -1)
-    if not found.num_rows:
-        x = np.zeros((0, features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]))
+    width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
+    x = np.array(found.column("x").to_pylist(), float).reshape(found.num_rows, width)
     order = np.lexsort(x.T[:3]) if len(x) else slice(None)  # the order of rows, which differs from run to run, shall not matter
     return fit(x[order], found.column("label").to_numpy()[order].astype(float))
 
