@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 #: Functions that take Arrow batches work on slices of about so many bytes of text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 #: Rows, and about how many bytes, of an Arrow batch.

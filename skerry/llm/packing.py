@@ -28,9 +28,12 @@ def _encoder(name: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(public_tokenizers.path(name))
-    exact.no_truncation()
-    exact.no_padding()
+    def exact() -> Tokenizer:  # some ten megabytes, loaded by workers that meet an unusual text
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     ranks_file = public_tokenizers.path(name.replace(".json", ".tiktoken"))
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -39,7 +42,8 @@ def _encoder(name: str):
 
     def encode(text: str) -> np.ndarray:
         if unusual(text) or "<|" in text:
-            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+            tokenizer = worker_cache(("exact", name), exact)
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode

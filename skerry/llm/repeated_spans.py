@@ -19,9 +19,9 @@ GRAM = 32
 #: Phrases of a context begin at the least hash among so many grams of so many bytes.
 PHRASE_WINDOW, PHRASE_GRAM = 17, 8
 #: Texts are hashed in slices of about so many bytes, each of which takes some hundred bytes of memory for a while.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: A task builds one suffix array over groups of about so many bytes.
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 1 << 20
 #: Groups of more distinct contexts are judged window by window, counted by Spark with map-side sums, in no one task.
 GROUP = 4096
 
@@ -259,7 +259,7 @@ def _judge(span: int):
 
 def _window_rows(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "context", 1 << 18):
+        for batch in slices(batches, "context", 1 << 17):
             data, offsets = utf8(batch.column("context"))
             sizes = np.maximum(np.diff(offsets) - span + 1, 0)
             owner, within = np.repeat(np.arange(len(sizes)), sizes), inner_ranges(sizes)
