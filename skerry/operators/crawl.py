@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from ..sources.cut import table_cut
 from ..sources.documents import title_of
-from ..sources.tables import table_cut
+from .numbering import numbered
 
 
 class _Links(HTMLParser):
@@ -187,7 +188,7 @@ def crawl(web: DataFrame, seeds: list[str], robots: DataFrame | None = None, age
         step = found.select("url", "place").join(edges, found["url"] == edges["src"]).select(F.col("dst").alias("url"), F.concat("place", F.array(F.col("seq").cast("long"))).alias("place"))
         frontier = table_cut(step.join(seen, "url", "left_anti").groupBy("url").agg(F.min("place").alias("place")), "frontier")
         seen = table_cut(seen.union(frontier.select("url")), "seen")
-    pages = fetched.withColumn("title", extract_title("html")).withColumn("crawl_order", F.row_number().over(Window.orderBy("level", "place")))
+    pages = numbered(fetched.withColumn("title", extract_title("html")), ["level", "place"], "crawl_order")
     crawled = edges.join(fetched.select(F.col("url").alias("src")), "src", "left_semi")
     return Crawl(pages.select("url", "html", "title", "crawl_order"), crawled.select("src", "dst", "seq"))
 

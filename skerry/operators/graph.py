@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import table_cut
+from ..sources.cut import table_cut
+from .numbering import numbered
 
 
 def graph_edges(edges: DataFrame, directed: bool = True) -> DataFrame:
@@ -54,13 +55,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     # A node's share goes to its links and a zero to itself, so that nodes without in-links stay.
     ranks = nodes.select("id", F.lit(1.0 / n).alias("authority"))
     sources = links.select(F.col("src").alias("id")).distinct()
+    held: list[DataFrame] = []
     for turn in range(rounds):
         dangling = ranks.join(sources, "id", "left_anti").agg(F.coalesce(F.sum("authority"), F.lit(0.0))).first()[0]
         base = (1 - damping) / n + damping * dangling / n
         sent = links.join(ranks.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("authority") / F.col("out_degree")).alias("got"))
         new = sent.groupBy("id").agg(F.sum("got").alias("got"))
         new = ranks.withColumnRenamed("authority", "old").join(new, "id", "left").select("id", "old", (base + damping * F.coalesce("got", F.lit(0.0))).alias("authority"))
-        new = table_cut(new, "ranks") if turn % cut_every == cut_every - 1 else new.persist()
+        if turn % cut_every == cut_every - 1:
+            new = table_cut(new, "ranks")
+            while held:
+                held.pop().unpersist()
+        else:
+            held.append(new := new.persist())
         change = new.agg(F.sum(F.abs(F.col("authority") - F.col("old")))).first()[0]
         ranks = new.select("id", "authority")
         if change < tolerance:
@@ -90,8 +97,8 @@ def bfs(edges: DataFrame, start, most_levels: int = 1_000) -> DataFrame:
 
 
 def bfs_order(edges: DataFrame, start) -> DataFrame:
-    """(id, visit): the breadth-first order as numbers from 1; numbering is one sort, so it suits results of a bounded size."""
-    return bfs(edges, start).select("id", F.row_number().over(Window.orderBy("level", "place")).cast("long").alias("visit"))
+    """(id, visit): the breadth-first order as numbers from 1."""
+    return numbered(bfs(edges, start), ["level", "place"], "visit").select("id", "visit")
 
 
 def shortest_path(edges: DataFrame, start, target) -> list | None:

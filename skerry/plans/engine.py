@@ -13,8 +13,9 @@ from ..operators import analytics, suggest
 from ..operators.index import Index, build_index, empty_index, remove_documents, update_documents
 from ..operators.query import boolean_search
 from ..operators.rank import search_ranked
+from ..sources.cut import table_cut
 from ..sources.documents import load_folder
-from ..sources.tables import load_index, save_index, table_cut
+from ..sources.tables import load_index, save_index
 from ..streaming.limiter import SlidingLog
 
 log = logging.getLogger("skerry")

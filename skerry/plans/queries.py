@@ -13,8 +13,9 @@ from ..functions.vectors import cosine, hash_embedding, min_max
 from ..operators import analytics, collections, crawl, evaluate, graph, rank, semantic, suggest
 from ..operators import query as Q
 from ..operators.index import Index, analyze_plain, analyzed, build_index, remove_documents, update_documents
+from ..sources.cut import shared_folder, table_cut
 from ..sources.documents import documents_from_table, html_text, html_title, synthetic_corpus
-from ..sources.tables import load_index, save_index, shared_folder, table_cut
+from ..sources.tables import load_index, save_index
 from ..streaming import limiter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

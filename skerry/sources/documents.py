@@ -7,11 +7,12 @@ from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import file_stem, file_suffix, is_blank
+from ..operators.numbering import numbered
 
 #: File suffixes and the source type that reads them.
 SOURCE_TYPES = {".txt": "txt", ".pdf": "pdf", ".html": "html", ".htm": "html", ".md": "markdown", ".markdown": "markdown"}
@@ -181,8 +182,8 @@ def documents_from_files(files: DataFrame, skip_empty: bool = True) -> DataFrame
     else:
         read = read.withColumn("raw_text", F.when(is_blank(F.col("raw_text")), F.raise_error(F.concat(F.lit("no text in "), F.col("path"))).cast("string")).otherwise(F.col("raw_text")))
     path = F.regexp_replace("path", "^file:/*", "/")
-    doc_id = F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long")
-    return read.select(doc_id.alias("doc_id"), path.alias("source_path"), "source_type", "title", "raw_text", F.create_map().cast("map<string,string>").alias("metadata"))
+    read = numbered(read, [F.split("path", "/")], "doc_id")
+    return read.select("doc_id", path.alias("source_path"), "source_type", "title", "raw_text", F.create_map().cast("map<string,string>").alias("metadata"))
 
 
 def load_texts(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -1,55 +1,21 @@
-"""Tables in the shared folder, and saved indexes."""
+"""Saved indexes."""
 
 from __future__ import annotations
 
-import atexit
 import json
-import os
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from ..operators.index import Index
+from .cut import hadoop_path
 
 VERSION = 1
 META = "meta.json"  # without the leading underscore that Spark's readers skip
 TABLES = ("documents", "postings", "doc_stats")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; one of our own only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", f"skerry-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        files, at = _path(spark, path)
-        files.delete(at, True)
-    except Exception:  # noqa: BLE001  the session has ended
-        pass
-
-
-def table_cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, so that its lineage ends there and lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def index_exists(spark: SparkSession, path: str) -> bool:
-    files, at = _path(spark, f"{path}/{META}")
+    files, at = hadoop_path(spark, f"{path}/{META}")
     return files.exists(at)
 
 
@@ -59,7 +25,7 @@ def save_index(index: Index, path: str) -> None:
     index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
     index.documents.write.mode("overwrite").parquet(f"{path}/documents")
-    files, at = _path(spark, f"{path}/{META}")
+    files, at = hadoop_path(spark, f"{path}/{META}")
     out = files.create(at, True)
     out.write(bytearray(json.dumps({"format": "skerry-index", "version": VERSION}).encode()))
     out.close()
