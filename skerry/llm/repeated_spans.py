@@ -32,6 +32,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POSITION = np.uint64((1 << 30) - 1)
 
 
+#: The places of a context are listed in at least so many parts, and in one more for every so many contexts there are.
+LISTS, PLACES = 64, 20_000
+
+
 class Rolling:
     """Hashes of any stretches of some bytes, from sums of their prefixes modulo 2^64."""
 
@@ -301,7 +305,11 @@ def repeated_ranges(documents: DataFrame, span: int = 400) -> DataFrame:
     where = F.struct("k1", "k2", "first", "last")
     distinct = contexts.groupBy(*key).agg(F.min(where).alias("one"), (F.max("multiple") | (F.min(where) != F.max(where))).alias("multiple"), F.max("context").alias("context"))
     distinct = materialise(distinct.select(*key, "one.*", "multiple", "context"), "distinct")
-    repeated = contexts.select(*key, "k1", "k2", "first", "last").join(distinct.where("multiple").select(*key), key).select("k1", "k2", F.col("first").alias("lo"), (F.col("last") + span).alias("hi"))
+    # A context's places go through the join in lists, as many for a frequent context as keep each list short.
+    salts = max(LISTS, contexts.count() // PLACES)
+    place = F.struct("k1", "k2", F.col("first").alias("lo"), (F.col("last") + span).alias("hi"))
+    lists = contexts.groupBy(*key, F.pmod(F.xxhash64("k1", "first"), F.lit(salts)).alias("salt")).agg(F.collect_list(place).alias("places"))
+    repeated = lists.join(distinct.where("multiple").select(*key), key).select(F.explode("places").alias("place")).select("place.*")
     sizes = materialise(distinct.groupBy("gram").agg(F.count("*").alias("n"), F.min("multiple").alias("settled")).where("n > 1 AND NOT settled"), "groups")
     open_groups = distinct.join(sizes, "gram").select("gram", "k1", "k2", "first", "multiple", "context", "n")
     small = open_groups.where(F.col("n") <= GROUP).drop("n").repartition("gram").sortWithinPartitions("gram")
