@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, sized, slices, small_batches, text_key, utf8
@@ -18,12 +18,14 @@ HASHES, TREES = 64, 16
 STRIDE = HASHES // TREES
 #: Levels of a tree: two of 32 bits, four of 16.
 LEVELS = 6
+#: In the first trees, the nodes with the most links of each first-level region are its hubs, against which all its nodes of other components are tried.
+HUB_TREES, HUBS, HUB_LINKS, HUB_ROUNDS = 6, 12, 3, 4
 #: A region of a tree this small has all its pairs proposed; larger ones are split one level deeper.
 REGION = 8
 #: In regions that no level splits, and between regions, so many next neighbours in the order are proposed.
 NEIGHBOURS = 3
-#: Pairs whose signatures agree in a smaller share are not looked at: over four standard deviations under the threshold.
-LIKELY = 0.65
+#: Pairs whose signatures agree in a share that is by more than this under the threshold are not looked at: four standard deviations or more.
+MARGIN = 0.2
 
 _RANDOM = np.random.Generator(np.random.PCG64(3))
 _FACTORS = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,11 +158,14 @@ def _seam(rows):
     return pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, HASHES) for c in ("sketch_a", "sketch_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= LIKELY))
+def _likely(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, HASHES) for c in ("sketch_a", "sketch_b"))
+                yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= percent / 100 - MARGIN))
+
+    return run
 
 
 def _confirm(size: int, percent: int):
@@ -184,6 +189,28 @@ def _first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in (signature & np.uint32(0xFF)).astype(np.uint8)], pa.binary())], ["node", "sketch"])
 
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(batch.num_rows, HASHES)
+            for tree in range(HUB_TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree, np.int32)), pa.array(signature[:, STRIDE * tree].astype(np.int64)), batch.column("node")], ["tree", "region", "node"])
+
+
+def _confirmed(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked: sifted by their signatures, then decided on the full sets of a text of each."""
+    for side in "ab":
+        pairs = pairs.join(sketch.withColumnsRenamed({"node": side, "sketch": f"sketch_{side}"}), side)
+    likely = materialise(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(percent), "a binary, b binary"), "likely")
+    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(wanted.join(nodes, "node").select("node", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2")), "wanted")
+    texts = rows.select("k1", "k2", "text").join(sized(wanted, 100), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
+    texts = materialise(texts, "texts")
+    for side in "ab":
+        likely = likely.join(texts.withColumnsRenamed({"node": side, "text": f"text_{side}"}), side)
+    return materialise(likely.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a binary, b binary"), "links")
+
+
 def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, k1, k2 (the text's key), n_shingles, node and component_id of every row."""
     spark = small_batches(documents)
@@ -199,17 +226,27 @@ def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
     seams = proposed.where("seam IS NOT NULL").select("seam", "tree", "high", "low", "node").groupBy("seam").applyInPandas(lambda x: _seam(x.drop(columns="seam")), "a binary, b binary")
     pairs = proposed.where("a IS NOT NULL").select("a", "b").union(seams).distinct()
     sketch = nodes.select("node", "signature").mapInArrow(_first_bytes, "node binary, sketch binary")
-    for side in "ab":
-        pairs = pairs.join(sketch.withColumnsRenamed({"node": side, "sketch": f"sketch_{side}"}), side)
-    likely = materialise(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a binary, b binary"), "likely")
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(wanted.join(nodes, "node").select("node", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2")), "wanted")
-    texts = rows.select("k1", "k2", "text").join(sized(wanted, 100), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(texts, "texts")
-    for side in "ab":
-        likely = likely.join(texts.withColumnsRenamed({"node": side, "text": f"text_{side}"}), side)
-    links = likely.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a binary, b binary")
+    links = _confirmed(rows, nodes, pairs, sketch, size, percent)
     labels = connected_components(links)
+    # In a crowded region a text can be linked with the centre alone and have only other variants for neighbours.
+    regions = None
+    for _ in range(HUB_ROUNDS):
+        ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+        degrees = materialise(ends.groupBy("node").agg(F.count("*").alias("links")).where(F.col("links") >= HUB_LINKS), "degrees")
+        if degrees.isEmpty():
+            break
+        if regions is None:
+            regions = materialise(nodes.select("node", "signature").mapInArrow(_regions, "tree int, region long, node binary"), "regions")
+        placed = regions.join(labels, "node", "left").select("tree", "region", "node", F.coalesce("component", "node").alias("component"))
+        most = Window.partitionBy("tree", "region").orderBy(F.desc("links"), "hub")
+        hubs = regions.join(degrees, "node").join(labels, "node").select("tree", "region", F.col("node").alias("hub"), F.col("component").alias("of"), "links")
+        hubs = materialise(hubs.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= HUBS).select("tree", "region", "hub", "of"), "hubs")
+        tried = placed.join(hubs, ["tree", "region"]).where("component <> of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        new = _confirmed(rows, nodes, tried, sketch, size, percent)
+        if new.isEmpty():
+            break
+        links = materialise(links.union(new), "links")
+        labels = connected_components(new.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
     joined = nodes.select("node", "doc_id").join(labels, "node")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = joined.join(least, "component").select("node", "component_id")
@@ -225,7 +262,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 85) -> D
     Each of the forest's trees holds the nodes sorted by its own order of the MinHash signature, dealt out by ranges
     of that order, so that a crowded region spreads over tasks. Neighbours by longest common prefix are proposed: all pairs
     of a region of few nodes, at whatever depth it becomes that small, and next neighbours where even the deepest level is
-    crowded. Signatures sift the pairs, full sets confirm the links, and components follow by contraction.
+    crowded. Signatures sift the pairs, full sets confirm the links, and components follow by contraction. Then the nodes with the most
+    links of each region are tried against its nodes of other components, until that adds no link (at most HUB_ROUNDS times).
 
     A null or empty text, or one of separators only, has no shingles and is linked with nothing. component_id is the
     least doc_id of the component; null ids don't count, and where all are null it is null and kept is true. Repeated
