@@ -19,7 +19,7 @@ STRIDE = HASHES // TREES
 #: Levels of a tree: two of 32 bits, four of 16.
 LEVELS = 6
 #: In the first trees, the nodes with the most links of each first-level region are its hubs, against which all its nodes of other components are tried.
-HUB_TREES, HUBS, HUB_LINKS, HUB_ROUNDS = 6, 12, 3, 4
+HUB_TREES, HUBS, HUB_LINKS, HUB_ROUNDS = 6, 64, 3, 6
 #: A region of a tree this small has all its pairs proposed; larger ones are split one level deeper.
 REGION = 8
 #: In regions that no level splits, and between regions, so many next neighbours in the order are proposed.
