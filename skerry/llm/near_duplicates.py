@@ -190,11 +190,19 @@ def _first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each node and hub tree, with the last bit of every hash of its signature."""
     for batch in batches:
         if batch.num_rows:
             signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(batch.num_rows, HASHES)
+            bits = np.packbits((signature & np.uint32(1)).astype(np.uint8), axis=1).copy().view(np.int64)[:, 0]
             for tree in range(HUB_TREES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree, np.int32)), pa.array(signature[:, STRIDE * tree].astype(np.int64)), batch.column("node")], ["tree", "region", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree, np.int32)), pa.array(signature[:, STRIDE * tree].astype(np.int64)), batch.column("node"), pa.array(bits)], ["tree", "region", "node", "bits"])
+
+
+def unlike_bits(percent: int) -> int:
+    """How many of HASHES last bits may differ at a similarity of percent or more: the mean and four and a half standard deviations."""
+    p = (1 - percent / 100) / 2
+    return int(HASHES * p + 4.5 * (HASHES * p * (1 - p)) ** 0.5)
 
 
 def _confirmed(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
@@ -236,12 +244,13 @@ def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
         if degrees.isEmpty():
             break
         if regions is None:
-            regions = materialise(nodes.select("node", "signature").mapInArrow(_regions, "tree int, region long, node binary"), "regions")
-        placed = regions.join(labels, "node", "left").select("tree", "region", "node", F.coalesce("component", "node").alias("component"))
+            regions = materialise(nodes.select("node", "signature").mapInArrow(_regions, "tree int, region long, node binary, bits long"), "regions")
+        placed = regions.join(labels, "node", "left").select("tree", "region", "node", "bits", F.coalesce("component", "node").alias("component"))
         most = Window.partitionBy("tree", "region").orderBy(F.desc("links"), "hub")
-        hubs = regions.join(degrees, "node").join(labels, "node").select("tree", "region", F.col("node").alias("hub"), F.col("component").alias("of"), "links")
-        hubs = materialise(hubs.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= HUBS).select("tree", "region", "hub", "of"), "hubs")
-        tried = placed.join(hubs, ["tree", "region"]).where("component <> of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        hubs = regions.join(degrees, "node").join(labels, "node").select("tree", "region", F.col("node").alias("hub"), F.col("component").alias("of"), F.col("bits").alias("hub_bits"), "links")
+        hubs = materialise(hubs.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= HUBS).select("tree", "region", "hub", "of", "hub_bits"), "hubs")
+        alike = F.bit_count(F.col("bits").bitwiseXOR(F.col("hub_bits"))) <= unlike_bits(percent)
+        tried = placed.join(hubs, ["tree", "region"]).where(alike & (F.col("component") != F.col("of"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         new = _confirmed(rows, nodes, tried, sketch, size, percent)
         if new.isEmpty():
             break
