@@ -50,3 +50,9 @@ def autocomplete(vocabulary: DataFrame, prefix: str, limit: int | None = None) -
 def suggest(vocabulary: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     """autocomplete() of the prefix in lower case."""
     return autocomplete(vocabulary, prefix.lower(), limit)
+
+
+def suggest_for_input(vocabulary: DataFrame, typed: str, limit: int = 8) -> DataFrame:
+    """Suggestions for the last word of what has been typed, once it has two letters."""
+    last = typed.split(" ")[-1]
+    return suggest(vocabulary, last, limit) if len(last) >= 2 else vocabulary.select("word").limit(0)

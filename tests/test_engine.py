@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from skerry.operators import analytics, collections
 from skerry.operators.index import build_index
 from skerry.operators.rank import search_ranked
+from skerry.plans import profile
 from skerry.plans.engine import SearchEngine, TooManyRequests, Unauthorised
 from skerry.sources import documents as D
 from skerry.sources.tables import append_documents, load_index, save_index
@@ -106,6 +107,13 @@ def test_ranked_plan_has_no_python_and_prunes_columns(spark, tmp_path):
     assert "Python" not in plan and "InArrow" not in plan
 
 
+def test_profile(spark):
+    df = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count()
+    assert "HashAggregate" in profile.plan_text(df)
+    assert profile.operator_counts(df)["HashAggregate"] == 2
+    assert profile.slowest({"a": df, "b": spark.range(1)}, 1).count() == 1
+
+
 def test_limiter(spark):
     rows = [("c", 100.0, 0), ("c", 100.1, 1), ("c", 100.2, 2), ("c", 110.1, 3), ("c", 115.0, 4), ("d", 100.0, 5)]
     requests = spark.createDataFrame(rows, "client string, ts double, seq long")

@@ -196,5 +196,7 @@ def test_suggestions(spark, built):
     assert suggest.contains(words, "ten") and not suggest.contains(words, "te") and suggest.starts_with(words, "te")
     left = suggest.delete(words, spark.createDataFrame([("tea",)], "word string"))
     assert not suggest.contains(left, "tea") and suggest.contains(left, "team")
+    assert [r["word"] for r in suggest.suggest_for_input(words, "go Te").collect()] == ["tea", "team", "ten", "tender"]
+    assert suggest.suggest_for_input(words, "go t").count() == 0
     again = suggest.insert(left, words.where("word = 'tea'"))
     assert again.count() == words.count()
