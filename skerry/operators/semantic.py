@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sentences, words
 from ..functions.vectors import cosine, hash_embedding, min_max
 from .index import Index
-from .rank import bm25_scores, check_top_k
+from .rank import bm25_scores, by_score, check_top_k
 
 # The default synonyms.
 SYNONYMS = {
@@ -74,7 +74,7 @@ def nearest(vectors: DataFrame, query: list[float], top_k: int = 10) -> DataFram
     """(doc_id, score): the top_k by cosine with one vector, ties by the greater doc_id."""
     check_top_k(top_k)
     scored = vectors.select("doc_id", cosine(F.col("embedding"), F.lit(query).cast("array<double>")).alias("score"))
-    return scored.orderBy(F.desc("score"), F.desc("doc_id")).limit(top_k)
+    return scored.orderBy(by_score(), F.desc("doc_id")).limit(top_k)
 
 
 def nearest_per_query(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
@@ -82,7 +82,7 @@ def nearest_per_query(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -
     check_top_k(top_k)
     asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("_q")))
     scored = vectors.crossJoin(asked).select("query_id", "doc_id", cosine(F.col("embedding"), F.col("_q")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id"))
+    best = Window.partitionBy("query_id").orderBy(by_score(), F.desc("doc_id"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
 
 
@@ -103,7 +103,7 @@ def hybrid_search(index: Index, vectors: DataFrame, terms: list[str], query_vect
     keyword = bm25_scores(index, terms, candidates).withColumnRenamed("score", "keyword")
     both = keyword.join(vectors.select("doc_id", "embedding"), "doc_id", "left")
     both = both.select("doc_id", "keyword", cosine(F.col("embedding"), F.lit(query_vector).cast("array<double>")).alias("vector"))
-    return hybrid_scores(both, alpha).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(top_k)
+    return hybrid_scores(both, alpha).select("doc_id", "score").orderBy(by_score(), "doc_id").limit(top_k)
 
 
 def expand(queries: DataFrame, query: str = "query", synonyms: dict[str, list[str]] | None = None) -> DataFrame:

@@ -166,12 +166,12 @@ _SCORES = f"""{_TOKENS}, asked(term, qtf) AS (VALUES {_asked(WORDS)}),
     scored AS (SELECT doc_id, sum(qtf * {_PART}) AS score FROM postings JOIN asked USING (term) JOIN df USING (term) JOIN lens USING (doc_id), stats GROUP BY doc_id)"""
 
 
-@query(f"WITH {_SCORES} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id DESC LIMIT 20")
+@query(f"WITH {_SCORES} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(scored.score, 9) DESC, doc_id DESC LIMIT 20")
 def bm25_topk(spark, sf):
     return rank.rank(rank.bm25_scores(index(spark, sf), Q.terms_of(WORDS)), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_SCORES}, top AS (SELECT doc_id FROM scored ORDER BY score DESC, doc_id DESC LIMIT 20)
+@query(f"""WITH {_SCORES}, top AS (SELECT doc_id FROM scored ORDER BY round(score, 9) DESC, doc_id DESC LIMIT 20)
     SELECT doc_id, term, round(coalesce({_PART}, 0), 6) AS contribution
     FROM top CROSS JOIN asked LEFT JOIN postings USING (doc_id, term) LEFT JOIN df USING (term) JOIN lens USING (doc_id), stats""")
 def bm25_breakdown(spark, sf):
@@ -187,7 +187,7 @@ def _ranked_sql(condition: str, words: list[str], scoring: str, raw: list[str],
     return f"""WITH {_TOKENS}, asked(term, qtf) AS (VALUES {_asked(scoring)}),
         scored AS (SELECT doc_id, coalesce(sum(qtf * {_PART}), 0) AS score, {flags}
                    FROM postings LEFT JOIN asked USING (term) JOIN df USING (term) JOIN lens USING (doc_id), stats GROUP BY doc_id),
-        top AS (SELECT doc_id, score FROM scored JOIN documents USING (doc_id) WHERE {condition} AND {where} ORDER BY score DESC, doc_id LIMIT 10),
+        top AS (SELECT doc_id, score FROM scored JOIN documents USING (doc_id) WHERE {condition} AND {where} ORDER BY round(score, 9) DESC, doc_id LIMIT 10),
         worded AS (SELECT doc_id, source, score, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM top JOIN documents USING (doc_id)),
         placed AS (SELECT *, coalesce(list_position(list_transform(w, lambda x: {hit}), true), 0) AS i FROM worded),
         cut AS (SELECT *, CASE WHEN i > 0 THEN list_slice(w, greatest(i - 12, 1), least(i + 11, len(w))) ELSE list_slice(w, 1, 24) END AS s FROM placed)
@@ -222,7 +222,7 @@ def bm25_batch(spark, sf):
 _TFIDF = "((1 + log10(tf)) * CASE WHEN df > 0 THEN log10(n_docs / df) ELSE 0 END)"
 
 
-@query(f"WITH {_TOKENS}, asked(term, qtf) AS (VALUES {_asked(WORDS)}) SELECT doc_id, round(sum(qtf * {_TFIDF}), 6) AS score FROM postings JOIN asked USING (term) JOIN df USING (term), stats GROUP BY doc_id ORDER BY sum(qtf * {_TFIDF}) DESC, doc_id DESC LIMIT 20")
+@query(f"WITH {_TOKENS}, asked(term, qtf) AS (VALUES {_asked(WORDS)}) SELECT doc_id, round(sum(qtf * {_TFIDF}), 6) AS score FROM postings JOIN asked USING (term) JOIN df USING (term), stats GROUP BY doc_id ORDER BY round(sum(qtf * {_TFIDF}), 9) DESC, doc_id DESC LIMIT 20")
 def tfidf_topk(spark, sf):
     return rank.rank(rank.tfidf_scores(index(spark, sf), Q.terms_of(WORDS)), 20).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -242,14 +242,14 @@ def tfidf_cosine(spark, sf):
     return rank.sparse_cosine(F.broadcast(first), vectors, "query_id", "doc_id").withColumn("cosine", F.round("cosine", 6))
 
 
-@query(f"WITH {_SCORES} SELECT doc_id, round(score + 2.5 * CASE WHEN doc_id % 2 = 0 THEN (doc_id % 7) / 7.0 ELSE 0 END, 6) AS score FROM scored ORDER BY scored.score + 2.5 * CASE WHEN doc_id % 2 = 0 THEN (doc_id % 7) / 7.0 ELSE 0 END DESC, doc_id DESC LIMIT 20")
+@query(f"WITH {_SCORES} SELECT doc_id, round(score + 2.5 * CASE WHEN doc_id % 2 = 0 THEN (doc_id % 7) / 7.0 ELSE 0 END, 6) AS score FROM scored ORDER BY round(scored.score + 2.5 * CASE WHEN doc_id % 2 = 0 THEN (doc_id % 7) / 7.0 ELSE 0 END, 9) DESC, doc_id DESC LIMIT 20")
 def blended_topk(spark, sf):
     authority = table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 7 / F.lit(7.0)).alias("authority"))
     scores = rank.bm25_scores(index(spark, sf), Q.terms_of(WORDS))
     return rank.rank(rank.blended(scores, authority, 2.5), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_SCORES}, ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id DESC) AS rank FROM scored),
+@query(f"""WITH {_SCORES}, ranked AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM scored),
     qrels AS (SELECT doc_id, quality + 2 * toxic AS grade FROM labels),
     top AS (SELECT rank, coalesce(grade, 0) AS grade FROM ranked LEFT JOIN qrels USING (doc_id) WHERE rank <= 10),
     ideal AS (SELECT sum((pow(2, grade) - 1) / log2(place + 1)) AS x FROM (SELECT grade, row_number() OVER (ORDER BY grade DESC) AS place FROM qrels) WHERE place <= 10)
@@ -332,7 +332,7 @@ def hash_embeddings(spark, sf):
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id < 5),
     scored AS (SELECT query_id, vec_id AS doc_id, list_inner_product(qe, e) / (sqrt(list_inner_product(qe, qe)) * sqrt(list_inner_product(e, e))) AS score FROM q, v),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id DESC) AS rank FROM scored)
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM scored)
     SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10""")
 def vector_topk(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
