@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.porter import porter_stem, stem
 from ..functions.text import remove_stopwords, tokenize
+from ..sources.cut import table_cut
 
 Analyzer = Callable[[Column], Column]
 
@@ -158,13 +159,16 @@ def inverted(terms: DataFrame) -> DataFrame:
     return terms.select(F.col("doc_id").cast("long").alias("doc_id"), "terms").mapInArrow(_invert, "term string, doc_id long, tf int, positions array<int>")
 
 
-def build_index(documents: DataFrame, text: str = "raw_text", analyzer: Analyzer | None = None, terms: DataFrame | None = None) -> Index:
+def build_index(documents: DataFrame, text: str = "raw_text", analyzer: Analyzer | None = None, terms: DataFrame | None = None, cut: bool = False) -> Index:
     """Index documents(doc_id, text, ...), or ready-made (doc_id, terms). A document's id is expected once; see add_documents.
 
+    With cut the analysed documents are written to the shared folder, so that the index's tables don't analyse them each anew.
+
     Documents without terms count, with length 0. Neither the map side nor the reduce side of a separate merge is needed: postings
     are complete in the task that reads the document.
     """
     terms = analyzed(documents, text, analyzer) if terms is None else terms
+    terms = table_cut(terms, "terms") if cut else terms
     return Index(documents, inverted(terms), terms.select("doc_id", F.size("terms").alias("doc_len")))
 
 

@@ -61,7 +61,7 @@ class SearchEngine:
 
     def index_documents(self, documents: DataFrame) -> int:
         """Add documents (all columns of the model); those with ids that are there are replaced. Returns how many came."""
-        new = build_index(table_cut(documents, "incoming"))
+        new = build_index(table_cut(documents, "incoming"), cut=True)
         self._set(update_documents(self.index, new))
         return new.document_count()
 

@@ -49,7 +49,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 def index(spark: SparkSession, sf: str) -> Index:
     """The index of the documents; its postings are written once, since a query reads them several times."""
     docs = documents(spark, sf)
-    built = build_index(docs, terms=table_cut(analyzed(docs), "terms"))
+    built = build_index(docs, cut=True)
     return Index(docs, table_cut(built.postings, "postings"), built.doc_stats)
 
 
