@@ -33,7 +33,7 @@ _POSITION = np.uint64((1 << 30) - 1)
 
 
 #: The places of a context are listed in at least so many parts, and in one more for every so many contexts there are.
-LISTS, PLACES = 64, 20_000
+LISTS, PLACES = 512, 20_000
 
 
 class Rolling:
@@ -309,7 +309,8 @@ def repeated_ranges(documents: DataFrame, span: int = 400) -> DataFrame:
     salts = max(LISTS, contexts.count() // PLACES)
     place = F.struct("k1", "k2", F.col("first").alias("lo"), (F.col("last") + span).alias("hi"))
     lists = contexts.groupBy(*key, F.pmod(F.xxhash64("k1", "first"), F.lit(salts)).alias("salt")).agg(F.collect_list(place).alias("places"))
-    repeated = lists.join(distinct.where("multiple").select(*key), key).select(F.explode("places").alias("place")).select("place.*")
+    kept = lists.join(distinct.where("multiple").select(*key), key).select("gram", "salt", "places")
+    repeated = kept.repartition("gram", "salt").select(F.explode("places").alias("place")).select("place.*")
     sizes = materialise(distinct.groupBy("gram").agg(F.count("*").alias("n"), F.min("multiple").alias("settled")).where("n > 1 AND NOT settled"), "groups")
     open_groups = distinct.join(sizes, "gram").select("gram", "k1", "k2", "first", "multiple", "context", "n")
     small = open_groups.where(F.col("n") <= GROUP).drop("n").repartition("gram").sortWithinPartitions("gram")
