@@ -195,8 +195,10 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(batch.num_rows, HASHES)
             bits = np.packbits((signature & np.uint32(1)).astype(np.uint8), axis=1).copy().view(np.int64)[:, 0]
+            every = signature[:, STRIDE * np.arange(HUB_TREES)].astype(np.int64)
+            lists = pa.array(list(every), pa.list_(pa.int64()))
             for tree in range(HUB_TREES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree, np.int32)), pa.array(signature[:, STRIDE * tree].astype(np.int64)), batch.column("node"), pa.array(bits)], ["tree", "region", "node", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree, np.int32)), pa.array(every[:, tree]), batch.column("node"), pa.array(bits), lists], ["tree", "region", "node", "bits", "every"])
 
 
 def unlike_bits(percent: int) -> int:
@@ -244,13 +246,15 @@ def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
         if degrees.isEmpty():
             break
         if regions is None:
-            regions = materialise(nodes.select("node", "signature").mapInArrow(_regions, "tree int, region long, node binary, bits long"), "regions")
-        placed = regions.join(labels, "node", "left").select("tree", "region", "node", "bits", F.coalesce("component", "node").alias("component"))
+            regions = materialise(nodes.select("node", "signature").mapInArrow(_regions, "tree int, region long, node binary, bits long, every array<long>"), "regions")
+        placed = regions.join(labels, "node", "left").select("tree", "region", "node", "bits", "every", F.coalesce("component", "node").alias("component"))
         most = Window.partitionBy("tree", "region").orderBy(F.desc("links"), "hub")
-        hubs = regions.join(degrees, "node").join(labels, "node").select("tree", "region", F.col("node").alias("hub"), F.col("component").alias("of"), F.col("bits").alias("hub_bits"), "links")
-        hubs = materialise(hubs.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= HUBS).select("tree", "region", "hub", "of", "hub_bits"), "hubs")
+        hubs = regions.join(degrees, "node").join(labels, "node").select("tree", "region", F.col("node").alias("hub"), F.col("component").alias("of"), F.col("bits").alias("hub_bits"), F.col("every").alias("hub_every"), "links")
+        hubs = materialise(hubs.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= HUBS).select("tree", "region", "hub", "of", "hub_bits", "hub_every"), "hubs")
         alike = F.bit_count(F.col("bits").bitwiseXOR(F.col("hub_bits"))) <= unlike_bits(percent)
-        tried = placed.join(hubs, ["tree", "region"]).where(alike & (F.col("component") != F.col("of"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        # A pair that shares several regions is taken in the first one only.
+        first = F.array_position(F.zip_with("every", "hub_every", lambda x, y: x == y), F.lit(True)) == F.col("tree") + 1
+        tried = placed.join(hubs, ["tree", "region"]).where(alike & (F.col("component") != F.col("of")) & first).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         new = _confirmed(rows, nodes, tried, sketch, size, percent)
         if new.isEmpty():
             break
