@@ -10,7 +10,8 @@ from ..functions.text import tokenize
 
 def vocabulary(documents: DataFrame, text: str = "raw_text") -> DataFrame:
     """(word, first_seen): the distinct tokens, unstemmed and with stopwords; first_seen is (doc_id, place) of the first."""
-    tokens = documents.select("doc_id", F.posexplode(tokenize(F.col(text))).alias("pos", "word"))
+    # The outer form keeps Spark from computing the tokens a second time for a filter on their number.
+    tokens = documents.select("doc_id", F.posexplode_outer(tokenize(F.col(text))).alias("pos", "word")).where(F.col("word").isNotNull())
     return tokens.groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("first_seen"))
 
 

@@ -84,7 +84,7 @@ def token_counts(spark, sf):
 
 @query(f"WITH {_TOKENS} SELECT token, stem FROM stems")
 def stem_vocabulary(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(analyze_plain(F.col("text"))).alias("token")).distinct()
+    words = table(spark, sf, "documents").select(F.explode_outer(analyze_plain(F.col("text"))).alias("token")).where("token IS NOT NULL").distinct()
     return words.select("token", porter_stem(F.col("token")).alias("stem"))
 
 
@@ -327,7 +327,7 @@ _EMBED = """words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lo
 @query(f"WITH {_EMBED} SELECT doc_id, bucket, round(c / size, 6) AS weight FROM buckets JOIN sizes USING (doc_id)")
 def hash_embeddings(spark, sf):
     vectors = table(spark, sf, "documents").select("doc_id", hash_embedding(F.col("text"), 64).alias("v"))
-    return vectors.select("doc_id", F.posexplode("v").alias("bucket", "weight")).where("weight <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))
+    return vectors.select("doc_id", F.posexplode_outer("v").alias("bucket", "weight")).where("weight <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id < 5),
