@@ -20,7 +20,7 @@ UNUSUAL = "[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]"
 PLAIN_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+"
 
 #: The distinct words whose ids a worker keeps; at that number it forgets them and begins anew.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 500_000
 
 
 class PairIndex:
@@ -165,7 +165,7 @@ def _codec(name: str) -> Codec:
 def _run(name: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             encoded = codec.encode([x or "" for x in batch.column("text").to_pylist()])
             if digests:
                 last = [pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string()), pa.array([hashlib.sha256(codec.decode(x).encode("utf-8", "replace")).hexdigest() for x in encoded], pa.string())]
