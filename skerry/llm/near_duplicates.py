@@ -18,8 +18,8 @@ HASHES, TREES = 64, 16
 STRIDE = HASHES // TREES
 #: Levels of a tree: two of 32 bits, four of 16.
 LEVELS = 6
-#: In the first trees, the nodes with the most links of each first-level region are its hubs, against which all its nodes of other components are tried.
-HUB_TREES, HUBS, HUB_LINKS, HUB_ROUNDS = 6, 64, 3, 6
+#: In the first trees, the nodes with the most links of each first-level region are its hubs; each of its nodes is tried against the TRIED likest of them that are of other components.
+HUB_TREES, HUBS, HUB_LINKS, HUB_ROUNDS, TRIED = 6, 64, 3, 6, 16
 #: A region of a tree this small has all its pairs proposed; larger ones are split one level deeper.
 REGION = 8
 #: In regions that no level splits, and between regions, so many next neighbours in the order are proposed.
@@ -196,9 +196,8 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(batch.num_rows, HASHES)
             bits = np.packbits((signature & np.uint32(1)).astype(np.uint8), axis=1).copy().view(np.int64)[:, 0]
             every = signature[:, STRIDE * np.arange(HUB_TREES)].astype(np.int64)
-            lists = pa.array(list(every), pa.list_(pa.int64()))
             for tree in range(HUB_TREES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree, np.int32)), pa.array(every[:, tree]), batch.column("node"), pa.array(bits), lists], ["tree", "region", "node", "bits", "every"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree, np.int32)), pa.array(every[:, tree]), batch.column("node"), pa.array(bits)], ["tree", "region", "node", "bits"])
 
 
 def unlike_bits(percent: int) -> int:
@@ -246,15 +245,18 @@ def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
         if degrees.isEmpty():
             break
         if regions is None:
-            regions = materialise(nodes.select("node", "signature").mapInArrow(_regions, "tree int, region long, node binary, bits long, every array<long>"), "regions")
-        placed = regions.join(labels, "node", "left").select("tree", "region", "node", "bits", "every", F.coalesce("component", "node").alias("component"))
+            regions = materialise(nodes.select("node", "signature").mapInArrow(_regions, "tree int, region long, node binary, bits long"), "regions")
+        placed = regions.join(labels, "node", "left").select("tree", "region", "node", "bits", F.coalesce("component", "node").alias("component"))
         most = Window.partitionBy("tree", "region").orderBy(F.desc("links"), "hub")
-        hubs = regions.join(degrees, "node").join(labels, "node").select("tree", "region", F.col("node").alias("hub"), F.col("component").alias("of"), F.col("bits").alias("hub_bits"), F.col("every").alias("hub_every"), "links")
-        hubs = materialise(hubs.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= HUBS).select("tree", "region", "hub", "of", "hub_bits", "hub_every"), "hubs")
-        alike = F.bit_count(F.col("bits").bitwiseXOR(F.col("hub_bits"))) <= unlike_bits(percent)
-        # A pair that shares several regions is taken in the first one only.
-        first = F.array_position(F.zip_with("every", "hub_every", lambda x, y: x == y), F.lit(True)) == F.col("tree") + 1
-        tried = placed.join(hubs, ["tree", "region"]).where(alike & (F.col("component") != F.col("of")) & first).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        hubs = regions.join(degrees, "node").join(labels, "node").select("tree", "region", F.col("node").alias("hub"), F.col("component").alias("of"), "bits", "links")
+        hubs = hubs.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= HUBS)
+        hubs = materialise(hubs.groupBy("tree", "region").agg(F.collect_list(F.struct("hub", "of", "bits")).alias("hubs")), "hubs")
+        # A region's hubs, HUBS at most, come as one list to each of its nodes, which is tried against the likest of other components.
+        unlike = lambda h: F.bit_count(F.col("bits").bitwiseXOR(h["bits"]))
+        others = F.filter("hubs", lambda h: (h["of"] != F.col("component")) & (unlike(h) <= unlike_bits(percent)))
+        likest = F.slice(F.array_sort(F.transform(others, lambda h: F.struct(unlike(h).alias("unlike"), h["hub"].alias("hub")))), 1, TRIED)
+        tried = placed.join(hubs, ["tree", "region"]).select("node", F.explode_outer(likest).alias("x")).where("x IS NOT NULL")
+        tried = tried.select(F.least("node", "x.hub").alias("a"), F.greatest("node", "x.hub").alias("b")).distinct()
         new = _confirmed(rows, nodes, tried, sketch, size, percent)
         if new.isEmpty():
             break
