@@ -18,14 +18,20 @@ HASHES, TREES = 64, 16
 STRIDE = HASHES // TREES
 #: Levels of a tree: two of 32 bits, four of 16.
 LEVELS = 6
-#: In the first trees, the nodes with the most links of each first-level region are its hubs; each of its nodes is tried against the TRIED likest of them that are of other components.
-HUB_TREES, HUBS, HUB_LINKS, HUB_ROUNDS, TRIED = 6, 64, 3, 6, 16
 #: A region of a tree this small has all its pairs proposed; larger ones are split one level deeper.
 REGION = 8
 #: In regions that no level splits, and between regions, so many next neighbours in the order are proposed.
 NEIGHBOURS = 3
 #: Pairs whose signatures agree in a share that is by more than this under the threshold are not looked at: four standard deviations or more.
 MARGIN = 0.2
+#: Nodes that fewer trees than this hold in a small first-level region are crowded: the exact join looks for their links too.
+SAFE_TREES = 10
+#: The exact join orders shingles by their frequency in a sample of about so many crowded nodes. The order decides its cost, not its result.
+SAMPLE, FREQUENT = 10_000, 500_000
+#: Rows of one shingle that meet in a task of the exact join.
+TOGETHER = 1024
+#: The exact join's pairs are confirmed in rounds: so many a node in the first, four times as many in each next one, until none is left.
+FIRST_ROUND = 16
 
 _RANDOM = np.random.Generator(np.random.PCG64(3))
 _FACTORS = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,8 +125,14 @@ def propose(tree: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.nda
     return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
 
 
+def crowded_rows(tree: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Whether each row of a sorted stretch is in a first-level region of more than REGION rows, or in one that may go on in another stretch."""
+    region = np.cumsum(common_levels(tree, high, low) < 1) - 1
+    return (np.bincount(region)[region] > REGION) | (region == 0) | (region == region[-1])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Proposed pairs of a sorted stretch of the forest, and its first and last rows for the seams to the next stretches."""
+    """Proposed pairs of a sorted stretch of the forest, its first and last rows for the seams to the next stretches, and for its crowded nodes the number of their rows."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -141,11 +153,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, seam = len(nodes), 2 * NEIGHBOURS
     edge = [(part - 1, i) for i in range(min(seam, n))] + [(part, i) for i in range(max(0, n - seam), n)]
     at = [i for _, i in edge]
-    none = [None] * len(edge)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(left + none, pa.binary()), pa.array(right + none, pa.binary()), pa.array([None] * len(left) + [s for s, _ in edge], pa.int64()), *(pa.array([None] * len(left) + [x[i].item() for i in at], kind) for x, kind in ((tree, pa.int32()), (high, pa.int64()), (low, pa.int64()))), pa.array([None] * len(left) + list(nodes[at]), pa.binary())],
-        ["a", "b", "seam", "tree", "high", "low", "node"],
-    )
+    crowded, times = np.unique(nodes[crowded_rows(tree, high, low)], return_counts=True)
+    kinds = {"a": pa.binary(), "b": pa.binary(), "seam": pa.int64(), "tree": pa.int32(), "high": pa.int64(), "low": pa.int64(), "node": pa.binary(), "crowded": pa.int64()}
+    parts = [{"a": left, "b": right}, {"seam": [x for x, _ in edge], **{c: [x[i].item() for i in at] for c, x in (("tree", tree), ("high", high), ("low", low))}, "node": list(nodes[at])}, {"node": list(crowded), "crowded": times.tolist()}]
+    for part_rows in parts:
+        size = len(next(iter(part_rows.values())))
+        yield pa.RecordBatch.from_arrays([pa.array(part_rows.get(c, [None] * size), kind) for c, kind in kinds.items()], list(kinds))
 
 
 def _seam(rows):
@@ -189,21 +202,71 @@ def _first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in (signature & np.uint32(0xFF)).astype(np.uint8)], pa.binary())], ["node", "sketch"])
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each node and hub tree, with the last bit of every hash of its signature."""
-    for batch in batches:
-        if batch.num_rows:
-            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(batch.num_rows, HASHES)
-            bits = np.packbits((signature & np.uint32(1)).astype(np.uint8), axis=1).copy().view(np.int64)[:, 0]
-            every = signature[:, STRIDE * np.arange(HUB_TREES)].astype(np.int64)
-            for tree in range(HUB_TREES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree, np.int32)), pa.array(every[:, tree]), batch.column("node"), pa.array(bits)], ["tree", "region", "node", "bits"])
+def _sampled(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(*utf8(batch.column("text")), size)[0].view(np.int64))], ["shingle"])
+
+    return run
+
+
+def prefixes(hashes: np.ndarray, at: np.ndarray, percent: int, frequent: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, shingle, how many shingles of the set are left from it on) of each set's rarest shingles.
 
+    All sets have their shingles in one order, rare ones first. If two sets are linked, the first shingle in this order that
+    both have leaves at least their common number of shingles in either, so it is among these rows of both.
+    """
+    counts = np.diff(at)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    seen = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        seen = np.where(frequent[place] == hashes, times[place], 0)
+    order = np.lexsort((hashes, seen, owner))
+    left = at[1:][owner] - np.arange(len(hashes))
+    take = 100 * left >= percent * counts[owner]
+    return owner[take], hashes[order][take], left[take]
+
+
+def _prefix_rows(size: int, percent: int, frequent: np.ndarray, times: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            hashes, at = shingle_sets(*utf8(batch.column("text")), size)
+            owner, shingle, left = prefixes(hashes, at, percent, frequent, times)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), batch.column("node").take(pa.array(owner)), pa.array(np.diff(at)[owner].astype(np.int32)), pa.array(left.astype(np.int32))], ["shingle", "node", "n", "left"])
 
-def unlike_bits(percent: int) -> int:
-    """How many of HASHES last bits may differ at a similarity of percent or more: the mean and four and a half standard deviations."""
-    p = (1 - percent / 100) / 2
-    return int(HASHES * p + 4.5 * (HASHES * p * (1 - p)) ** 0.5)
+    return run
+
+
+def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text: a text of each wanted node."""
+    wanted = materialise(wanted.join(nodes, "node").select("node", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2")), "wanted")
+    texts = rows.select("k1", "k2", "text").join(sized(wanted, 100), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
+    return materialise(texts, "texts")
+
+
+def _exact_pairs(texts: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """Every pair (a, b) of the nodes of texts, of different components, that may be linked; best bounds their common shingles."""
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, texts.count() // SAMPLE))) == 0).select("text")
+    often = sample.mapInArrow(_sampled(size), "shingle long").groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    often = often.orderBy(F.desc("times"), "shingle").limit(FREQUENT).toPandas()
+    frequent = often["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    places = materialise(texts.mapInArrow(_prefix_rows(size, percent, frequent[order], often["times"].to_numpy(np.int64)[order]), "shingle long, node binary, n int, left int"), "prefixes")
+    of = texts.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    sizes = of.groupBy("component").agg(F.count("*").alias("members"))
+    of = materialise(of.join(sizes, "component").select("node", F.xxhash64("component").alias("of"), "members"), "components")
+    places = places.join(sized(of, 80), "node")
+    # Within a component nothing is left to find; of each shingle's rows only those outside its largest component meet all others.
+    shared = places.groupBy("shingle").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.max(F.struct("members", "of"))["of"].alias("main"), F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    shared = materialise(shared.where("least <> most").select("shingle", "main", "parts"), "shared")
+    places = materialise(places.drop("members").join(sized(shared, 48), "shingle"), "places")
+    light = places.where("of <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    light = light.select("shingle", "part", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("of").alias("of_a"))
+    every = places.select("shingle", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.col("node").alias("b"), "n", "left", "of", (F.col("of") == F.col("main")).alias("in_main"))
+    common = F.least("left_a", "left").cast("long")
+    fits = (F.col("of_a") != F.col("of")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (common * (100 + percent) >= (F.col("n_a") + F.col("n")).cast("long") * percent)
+    return materialise(light.join(every, ["shingle", "part"]).where(fits).groupBy("a", "b").agg(F.max(common).alias("best")), "exact")
 
 
 def _confirmed(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
@@ -211,10 +274,7 @@ def _confirmed(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, sketch: Data
     for side in "ab":
         pairs = pairs.join(sketch.withColumnsRenamed({"node": side, "sketch": f"sketch_{side}"}), side)
     likely = materialise(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(percent), "a binary, b binary"), "likely")
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(wanted.join(nodes, "node").select("node", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2")), "wanted")
-    texts = rows.select("k1", "k2", "text").join(sized(wanted, 100), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(texts, "texts")
+    texts = _texts(rows, nodes, likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct())
     for side in "ab":
         likely = likely.join(texts.withColumnsRenamed({"node": side, "text": f"text_{side}"}), side)
     return materialise(likely.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a binary, b binary"), "links")
@@ -231,37 +291,27 @@ def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * TREES // 400_000)
     forest = nodes.select("node", "signature").mapInArrow(_tree_rows, "tree int, high long, low long, node binary")
     forest = forest.repartitionByRange(many, "tree", "high", "low", "node").sortWithinPartitions("tree", "high", "low", "node")
-    proposed = materialise(forest.mapInArrow(_candidates, "a binary, b binary, seam long, tree int, high long, low long, node binary"), "candidates")
+    proposed = materialise(forest.mapInArrow(_candidates, "a binary, b binary, seam long, tree int, high long, low long, node binary, crowded long"), "candidates")
     seams = proposed.where("seam IS NOT NULL").select("seam", "tree", "high", "low", "node").groupBy("seam").applyInPandas(lambda x: _seam(x.drop(columns="seam")), "a binary, b binary")
     pairs = proposed.where("a IS NOT NULL").select("a", "b").union(seams).distinct()
     sketch = nodes.select("node", "signature").mapInArrow(_first_bytes, "node binary, sketch binary")
     links = _confirmed(rows, nodes, pairs, sketch, size, percent)
     labels = connected_components(links)
-    # In a crowded region a text can be linked with the centre alone and have only other variants for neighbours.
-    regions = None
-    for _ in range(HUB_ROUNDS):
-        ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-        degrees = materialise(ends.groupBy("node").agg(F.count("*").alias("links")).where(F.col("links") >= HUB_LINKS), "degrees")
-        if degrees.isEmpty():
-            break
-        if regions is None:
-            regions = materialise(nodes.select("node", "signature").mapInArrow(_regions, "tree int, region long, node binary, bits long"), "regions")
-        placed = regions.join(labels, "node", "left").select("tree", "region", "node", "bits", F.coalesce("component", "node").alias("component"))
-        most = Window.partitionBy("tree", "region").orderBy(F.desc("links"), "hub")
-        hubs = regions.join(degrees, "node").join(labels, "node").select("tree", "region", F.col("node").alias("hub"), F.col("component").alias("of"), "bits", "links")
-        hubs = hubs.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= HUBS)
-        hubs = materialise(hubs.groupBy("tree", "region").agg(F.collect_list(F.struct("hub", "of", "bits")).alias("hubs")), "hubs")
-        # A region's hubs, HUBS at most, come as one list to each of its nodes, which is tried against the likest of other components.
-        unlike = lambda h: F.bit_count(F.col("bits").bitwiseXOR(h["bits"]))
-        others = F.filter("hubs", lambda h: (h["of"] != F.col("component")) & (unlike(h) <= unlike_bits(percent)))
-        likest = F.slice(F.array_sort(F.transform(others, lambda h: F.struct(unlike(h).alias("unlike"), h["hub"].alias("hub")))), 1, TRIED)
-        tried = placed.join(hubs, ["tree", "region"]).select("node", F.explode_outer(likest).alias("x")).where("x IS NOT NULL")
-        tried = tried.select(F.least("node", "x.hub").alias("a"), F.greatest("node", "x.hub").alias("b")).distinct()
-        new = _confirmed(rows, nodes, tried, sketch, size, percent)
-        if new.isEmpty():
-            break
-        links = materialise(links.union(new), "links")
-        labels = connected_components(new.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    # What crowded regions hide from the forest: a join that misses no link of the nodes in them.
+    crowded = proposed.where("crowded IS NOT NULL").groupBy("node").agg(F.sum("crowded").alias("crowded")).where(F.col("crowded") > TREES - SAFE_TREES).select("node")
+    crowded = materialise(crowded, "crowded")
+    if not crowded.isEmpty():
+        untried, most = _exact_pairs(_texts(rows, nodes, crowded), labels, size, percent), FIRST_ROUND
+        while not untried.isEmpty():
+            ranked = materialise(untried.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("best"), "b"))), "ranked")
+            new = _confirmed(rows, nodes, ranked.where(F.col("rank") <= most).select("a", "b"), sketch, size, percent)
+            if not new.isEmpty():
+                labels = connected_components(new.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+            untried = ranked.where(F.col("rank") > most).drop("rank")
+            for side in "ab":
+                untried = untried.join(labels.withColumnsRenamed({"node": side, "component": f"of_{side}"}), side, "left")
+            apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+            untried, most = materialise(untried.where(apart).select("a", "b", "best"), "untried"), 4 * most
     joined = nodes.select("node", "doc_id").join(labels, "node")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = joined.join(least, "component").select("node", "component_id")
@@ -277,8 +327,9 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 85) -> D
     Each of the forest's trees holds the nodes sorted by its own order of the MinHash signature, dealt out by ranges
     of that order, so that a crowded region spreads over tasks. Neighbours by longest common prefix are proposed: all pairs
     of a region of few nodes, at whatever depth it becomes that small, and next neighbours where even the deepest level is
-    crowded. Signatures sift the pairs, full sets confirm the links, and components follow by contraction. Then the nodes with the most
-    links of each region are tried against its nodes of other components, until that adds no link (at most HUB_ROUNDS times).
+    crowded. Signatures sift the pairs, full sets confirm the links, and components follow by contraction. Nodes that crowded
+    regions hold in most trees are then joined on their rarest shingles, which leaves out no pair that can be linked; those pairs that
+    are still of different components are tried, in rounds, until none is left.
 
     A null or empty text, or one of separators only, has no shingles and is linked with nothing. component_id is the
     least doc_id of the component; null ids don't count, and where all are null it is null and kept is true. Repeated

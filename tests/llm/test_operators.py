@@ -233,6 +233,25 @@ def test_near_duplicates(spark, monkeypatch, region):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in found.items())
 
 
+def under_boilerplate(seed=5, pairs=150, single=100, common=352, own=48, changed=28):
+    """Texts of one long common passage and some words of their own; each of the first two by two is linked with the other alone."""
+    r = random.Random(seed)
+    passage = " ".join(f"c{i}" for i in range(common))
+    out = []
+    for k in range(pairs + single):
+        words = [f"w{r.randrange(10**9)}" for _ in range(own)]
+        out.append(f"{passage} {' '.join(words)}")
+        if k < pairs:
+            out.append(f"{passage} {' '.join(words[:-changed])} " + " ".join(f"v{r.randrange(10**9)}" for _ in range(changed)))
+    return out
+
+
+def test_near_duplicates_of_small_groups_under_boilerplate(spark):
+    texts = under_boilerplate()
+    found = collected(near.near_duplicates(frame(spark, list(enumerate(texts))).repartition(5)))
+    assert [found[i]["component_id"] for i in range(len(texts))] == [i - i % 2 if i < 300 else i for i in range(len(texts))]
+
+
 def test_near_duplicates_edges(spark):
     assert near.near_duplicates(frame(spark, []).limit(0)).count() == 0
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, None), (None, "only once")]
