@@ -18,7 +18,7 @@ from .common import materialise, slices, small_batches
 LABELLED_ROWS = 30_000
 #: Stems: a word that was seen too seldom borrows the odds of its first letters, longest stem first.
 STEMS = (8, 7, 6, 5, 4, 3)
-#: A text counts a word at most so often: repetitions are no further evidence.
+#: As evidence, a text counts a word at most so often, first in its best segments: repetitions are no further evidence.
 PER_TEXT = 2
 #: Weight, in occurrences, of the prior that a unit takes from its stem, and a stem from the base rate.
 PRIOR = 2.0
@@ -88,18 +88,32 @@ class Model:
     slope: float = 0.0
 
     def find(self, words: list[str], scores: Scores) -> list[tuple[int, int, float]]:
+        """All maximal scoring segments over every place of every positive word."""
         values = [scores[w] for w in words]
         if max(values, default=0) <= 0:
             return []
-        times: Counter[str] = Counter()
-        at = []
-        for i, v in enumerate(values):
-            if v > 0:
-                times[words[i]] += 1
-                if times[words[i]] <= PER_TEXT:
-                    at.append(i)
+        at = [i for i, v in enumerate(values) if v > 0]
         return segments([values[i] for i in at], at)
 
+    def damped(self, words: list[str], scores: Scores, found: list[tuple[int, int, float]]) -> tuple[list[float], list[tuple[int, int, float]]]:
+        """Each segment's best score, and all segments of the text, where a word's places beyond PER_TEXT are gaps.
+
+        For the first, its places in the segment count; for the second, those in the whole text, the best segments' first.
+        """
+
+        def parts(a: int, b: int, times: Counter[str]) -> list[tuple[int, int, float]]:
+            at = []
+            for i in range(a, b + 1):
+                if scores[words[i]] > 0:
+                    times[words[i]] += 1
+                    if times[words[i]] <= PER_TEXT:
+                        at.append(i)
+            return [(a + x, a + y, s) for x, y, s in segments([scores[words[i]] for i in at], [i - a for i in at])]
+
+        own = [max(s for *_, s in parts(a, b, Counter())) for a, b, _ in found]
+        seen: Counter[str] = Counter()
+        return own, [x for k in sorted(range(len(found)), key=lambda k: (-own[k], k)) for x in parts(*found[k][:2], seen)]
+
     def evidence(self, found: list[tuple[int, int, float]], tokens: int) -> float:
         """-log of the chance that the r highest segments of harmless text of so many tokens sum up as high, for the r where that is least.
 
@@ -176,7 +190,8 @@ def _extremes(models: list[Model]):
             for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
                 words = WORD.findall(text.lower())
                 n.append(len(words))
-                all_found.append([s for _, _, s in models[1 - fold].find(words, scores[1 - fold])])
+                found = models[1 - fold].find(words, scores[1 - fold])
+                all_found.append([s for *_, s in models[1 - fold].damped(words, scores[1 - fold], found)[1]])
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(n, pa.int64()), pa.array(all_found, pa.list_(pa.float64()))], ["label", "n", "scores"])
 
     return run
@@ -268,10 +283,11 @@ def _append(model: Model, text_column: str, passages: bool):
             for text in batch.column(batch.schema.get_field_index(text_column)).to_pylist():
                 words = WORD.findall((text or "").lower())
                 found = model.find(words, scores)
-                out.append(model.probability(model.evidence(found, len(words))))
+                own, counted = model.damped(words, scores, found)
+                out.append(model.probability(model.evidence(counted, len(words))))
                 if passages:
                     places = [m.span() for m in WORD.finditer(text.lower())] if found else []
-                    each = [(a, b, s, float(-np.expm1(-model.size * max(len(words), 1) * np.exp(-model.rate * s)))) for a, b, s in found]
+                    each = [(a, b, s, float(-np.expm1(-model.size * max(len(words), 1) * np.exp(-model.rate * d)))) for (a, b, s), d in zip(found, own, strict=True)]
                     spans.append([{"start": places[a][0], "end": places[b][1], "score": s, "p_value": p} for a, b, s, p in each])
             more = [pa.array(out, pa.float64())] + ([pa.array(spans, kind)] if passages else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_skerry_score", *["_skerry_passages"] * passages])
@@ -290,7 +306,7 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, label
     """For every document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold), passages.
 
     Passages are all maximal scoring segments: character range in the lower-cased text, score, and the chance of one as
-    high anywhere in a harmless text of this length. Scores are functions of the text alone; the model goes to the executors
+    high anywhere in a harmless text of this length, for which a passage's word counts PER_TEXT times at most. Scores are functions of the text alone; the model goes to the executors
     and its size is bounded by labelled_rows. Documents are scored where they lie, without a shuffle.
     A null or empty text has no passage and gets the score of no evidence. Repeated rows give repeated rows; a null doc_id isn't held out;
     an empty table gives an empty one; without labels of both kinds every document gets the base rate.

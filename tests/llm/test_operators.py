@@ -502,6 +502,18 @@ def test_segments_are_ruzzo_tompa():
         assert [s for *_, s in got] == pytest.approx([s for *_, s in brute(x)])
 
 
+def test_passages_of_words_that_came_before_are_found():
+    model = toxicity.Model({"vile": 3.0, "rotten": 3.0, "wretch": 3.0}, 1.0, 0.1, -2.0, 0.5)
+    scores = toxicity.Scores(model.known)
+    alone = " ".join(f"{w} {'so ' * 40}" for w in ["vile", "rotten", "wretch"] * 2).split()
+    found = model.find([*alone, "vile", "rotten", "wretch"], scores)
+    assert found[-1] == (len(alone), len(alone) + 2, 9.0) and len(found) == 7
+    # Wherever it stands, the dense passage counts whole, and repetitions of one word don't.
+    assert max(s for *_, s in model.damped([*alone, "vile", "rotten", "wretch"], scores, found)[1]) == 9.0
+    often = ["vile"] * 9
+    assert model.damped(often, scores, model.find(often, scores)) == ([6.0], [(0, 1, 6.0)])
+
+
 def test_toxicity(spark, judged):
     documents, labels = judged
     found = toxicity.score(documents, labels).collect()
