@@ -8,7 +8,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -44,9 +44,11 @@ def small_batches(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; one of our own only where that is unset."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Where that is unset, one of our own in a local session, an error on a cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", f"skerry-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -77,9 +79,26 @@ def discard(df: DataFrame) -> None:
             _delete(df.sparkSession, f)
 
 
+def fits(df: DataFrame, bytes_per_row: int) -> bool:
+    """Whether df's rows, which are counted, stay under BROADCAST_BYTES."""
+    return df.count() * bytes_per_row <= BROADCAST_BYTES
+
+
 def sized(df: DataFrame, bytes_per_row: int) -> DataFrame:
-    """df, marked for broadcast only if its counted rows stay under BROADCAST_BYTES; else Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
+    """df, marked for broadcast only if it fits(); else Spark shuffles both sides."""
+    return F.broadcast(df) if fits(df, bytes_per_row) else df
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores put before them until none is among those taken, whatever their case."""
+    held = {x.lower() for x in taken}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def worker_cache(key: Any, build: Callable[[], Any]) -> Any:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import skerry.llm.near_duplicates as near
 import skerry.llm.repeated_spans as spans
-from skerry.llm import bpe, html_blocks, media, packing, quality, topk, toxicity, url_rules
+from skerry.llm import bpe, common, html_blocks, media, packing, quality, topk, toxicity, url_rules
 from skerry.llm.common import utf8
 from skerry.llm.components import connected_components
 from skerry.llm.suffix_array import suffix_array
@@ -322,12 +322,36 @@ def span_texts(seed=3):
     return out + [base, base]
 
 
-@pytest.mark.parametrize(("span", "group"), [(400, 4096), (400, 2), (150, 4096)])
-def test_repeated_spans(spark, monkeypatch, span, group):
+@pytest.mark.parametrize(("span", "group", "often", "bound"), [(400, 1024, 64, 24 << 20), (400, 2, 2, 0), (150, 3, 3, 0), (150, 1024, 2, 24 << 20)])
+def test_repeated_spans(spark, monkeypatch, span, group, often, bound):
     monkeypatch.setattr(spans, "GROUP", group)
+    monkeypatch.setattr(spans, "HOT_LEAST", often)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
     texts = span_texts()
     found = collected(spans.removal_digests(frame(spark, list(enumerate(texts))).repartition(4), span))
-    assert [tuple(found[i])[1:] for i in range(len(texts))] == brute_spans(texts, span)
+    assert [tuple(found[i])[1:5] for i in range(len(texts))] == brute_spans(texts, span)
+
+
+def test_spans_in_a_very_long_text(spark):
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh ") for _ in range(700_000))
+    inner = long[300_000:300_450]
+    found = collected(spans.removal_digests(frame(spark, [(1, long), (2, "x" + inner), (3, long[5_000:5_399])]), 400))
+    assert [(found[i]["n_removed"], found[i]["n_spans"]) for i in (1, 2, 3)] == [(450, 1), (450, 1), (0, 0)]
+    assert found[2]["text"] == "x"
+
+
+def test_windows_are_marked_by_the_suffix_array(monkeypatch):
+    r = random.Random(4)
+    letters = lambda n: bytes(r.choice(b"abc") for _ in range(n))
+    shared = letters(300)
+    contexts = [letters(100) + shared[:220] + letters(50), shared, letters(20) + shared[100:] + letters(90)] + [letters(250) for _ in range(20)]
+    contexts += [b"a" * 170, b"a" * 149, b"ab" * 90, b"-" * 400 + shared[:200], b"-" * 200 + shared[:130], *(shared[:k] + b"\0" * 90 + shared[k:] for k in (40, 41, 90))]
+    seen = collections.Counter(c[i : i + 150] for c in contexts for i in range(len(c) - 149))
+    wanted = [i + 150 <= len(c) and seen[c[i : i + 150]] > 1 for c in contexts for i in range(len(c))]
+    assert spans.repeated_windows(contexts, 150).tolist() == wanted
+    monkeypatch.setattr(spans, "suffix_array", lambda t: list(range(len(t))))
+    assert spans.repeated_windows(contexts, 150).tolist() != wanted
 
 
 def test_repeated_spans_edges(spark):
