@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, small_batches
+from .common import fresh, materialise, slices, small_batches
 
 #: The token model learns from at most so many labelled rows, those with the least hash of doc_id.
 LABELLED_ROWS = 30_000
@@ -24,6 +24,10 @@ PER_TEXT = 2
 PRIOR = 2.0
 #: What a token without evidence of its own takes off a segment.
 GAP = 0.5
+#: Scores stay between these.
+LOWEST, HIGHEST = -2.0, 8.0
+#: Words of fewer occurrences have no negative score of their own.
+HARMLESS = 10
 
 #: Occurrences in toxic and clean texts of either half of the labelled rows.
 COUNTS = ("toxic0", "clean0", "toxic1", "clean1")
@@ -51,30 +55,26 @@ class Scores(dict):
         return score
 
 
-def segments(values: list[float], at: list[int], gaps: float = GAP) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (Ruzzo and Tompa), in one pass: (first token, last token, score).
-
-    values are the scores of the tokens numbered at; every token between them scores -gaps.
-    """
-    # Kept candidates: first token, last token, sum before, sum after.
-    kept: list[tuple[int, int, float, float]] = []
-    total, last = 0.0, -1
-    for value, n in zip(values, at, strict=True):
-        total -= gaps * (n - last - 1)
-        before, total, last = total, total + value, n
-        if value <= 0:
-            continue
-        first, left, right = n, before, total
+def segments(scores: Sequence[float] | np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (Ruzzo and Tompa) of the tokens' scores, in one pass: (first token, last token, score)."""
+    x = np.asarray(scores, float)
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    positive = np.flatnonzero(x > 0)
+    # Kept candidates: first token, last token, sum before, sum after, the last candidate before it whose sum before is less.
+    kept: list[tuple[int, int, float, float, int]] = []
+    for n, left, right in zip(positive.tolist(), sums[positive].tolist(), sums[positive + 1].tolist(), strict=True):
+        first = n
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][2] >= left:
-                j -= 1
+                j = kept[j][4]
             if j < 0 or kept[j][3] >= right:
-                kept.append((first, n, left, right))
+                kept.append((first, n, left, right, j))
                 break
             first, left = kept[j][0], kept[j][2]
             del kept[j:]
-    return [(a, b, right - left) for a, b, left, right in kept]
+            j -= 1
+    return [(a, b, right - left) for a, b, left, right, _ in kept]
 
 
 @dataclass
@@ -87,28 +87,24 @@ class Model:
     intercept: float = -2.0
     slope: float = 0.0
 
-    def find(self, words: list[str], scores: Scores) -> list[tuple[int, int, float]]:
-        """All maximal scoring segments over every place of every positive word."""
-        values = [scores[w] for w in words]
-        if max(values, default=0) <= 0:
-            return []
-        at = [i for i, v in enumerate(values) if v > 0]
-        return segments([values[i] for i in at], at)
+    def find(self, words: list[str], scores: Scores) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+        """The score of every word, and all maximal scoring segments over them."""
+        values = np.fromiter(map(scores.__getitem__, words), float, len(words))
+        return values, segments(values) if (values > 0).any() else []
 
-    def damped(self, words: list[str], scores: Scores, found: list[tuple[int, int, float]]) -> tuple[list[float], list[tuple[int, int, float]]]:
-        """Each segment's best score, and all segments of the text, where a word's places beyond PER_TEXT are gaps.
+    def damped(self, words: list[str], values: np.ndarray, found: list[tuple[int, int, float]]) -> tuple[list[float], list[tuple[int, int, float]]]:
+        """Each segment's best score, and all segments of the text, where a word's places beyond PER_TEXT are no evidence.
 
         For the first, its places in the segment count; for the second, those in the whole text, the best segments' first.
         """
 
         def parts(a: int, b: int, times: Counter[str]) -> list[tuple[int, int, float]]:
-            at = []
-            for i in range(a, b + 1):
-                if scores[words[i]] > 0:
-                    times[words[i]] += 1
-                    if times[words[i]] <= PER_TEXT:
-                        at.append(i)
-            return [(a + x, a + y, s) for x, y, s in segments([scores[words[i]] for i in at], [i - a for i in at])]
+            own = values[a : b + 1].copy()
+            for i in np.flatnonzero(own > 0).tolist():
+                times[words[a + i]] += 1
+                if times[words[a + i]] > PER_TEXT:
+                    own[i] = -GAP
+            return [(a + x, a + y, s) for x, y, s in segments(own)]
 
         own = [max(s for *_, s in parts(a, b, Counter())) for a, b, _ in found]
         seen: Counter[str] = Counter()
@@ -158,7 +154,7 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _log_odds(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Scores of units: posterior log-odds against the base rate, less one standard error, priors taken from stem to word."""
+    """Scores of units: posterior log-odds against the base rate, one standard error nearer to zero and at most -GAP if not clearly positive; priors go from stem to word."""
     base = (n_toxic + 1) / (n_toxic + n_clean + 2)
     counts = {u: (t, c) for u, t, c in rows}
     theta: dict[str, tuple[float, float]] = {}
@@ -176,10 +172,13 @@ def _log_odds(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> d
     for unit, (mean, weight) in theta.items():
         mean = min(max(mean, 1e-4), 1 - 1e-4)
         error = 1 / np.sqrt(weight * mean * (1 - mean) + 0.25)
-        score = np.log(mean / (1 - mean)) - np.log(base / (1 - base)) - error
-        known[unit] = float(min(score, 8.0)) if score > 0.5 else -GAP
-    # A harmless unit is needed only where a stem above it would lend it a score.
-    return {u: s for u, s in known.items() if s > 0 or any(known.get(p, -GAP) > 0 for p in parents(u))}
+        score = np.log(mean / (1 - mean)) - np.log(base / (1 - base))
+        if score - error > 0.5:
+            known[unit] = float(min(score - error, HIGHEST))
+        else:
+            known[unit] = float(min(max(score + error, LOWEST), -GAP))
+    # A unit that scores like an unknown one is needed only where a stem above it would lend it a score; stems lend no negative ones.
+    return {u: s for u, s in known.items() if s > 0 or (s < -GAP and ">" not in u) or any(known.get(p, -GAP) > 0 for p in parents(u))}
 
 
 def _extremes(models: list[Model]):
@@ -190,8 +189,8 @@ def _extremes(models: list[Model]):
             for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
                 words = WORD.findall(text.lower())
                 n.append(len(words))
-                found = models[1 - fold].find(words, scores[1 - fold])
-                all_found.append([s for *_, s in models[1 - fold].damped(words, scores[1 - fold], found)[1]])
+                values, found = models[1 - fold].find(words, scores[1 - fold])
+                all_found.append([s for *_, s in models[1 - fold].damped(words, values, found)[1]])
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(n, pa.int64()), pa.array(all_found, pa.list_(pa.float64()))], ["label", "n", "scores"])
 
     return run
@@ -210,15 +209,16 @@ def _solve_rate(values: np.ndarray, shares: np.ndarray) -> float:
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
-    """Learn from at most `rows` labelled documents that aren't held out. Labels: doc_id, toxic; nulls are left out, of several for an id the greatest counts."""
+    """Learn from at most `rows` labelled documents that aren't held out. Labels: doc_id, toxic; nulls are left out, of several for an id the greatest counts, of several texts the one of least hash."""
     small_batches(documents)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("label"))
     known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(rows))  # bounded by rows
     taken = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(known, "id")
-    # Copies of a text are one piece of evidence.
+    # An id may stand in many rows: of its texts the one of least hash counts. Copies of a text are one piece of evidence.
     text = F.coalesce("text", F.lit(""))
-    taken = materialise(taken.groupBy(text.alias("text")).agg(F.max("label").alias("label")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "labelled")
+    taken = taken.groupBy("id").agg(F.first("label").alias("label"), F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
+    taken = materialise(taken.groupBy("text").agg(F.max("label").alias("label")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "labelled")
     totals = {x["label"]: x["count"] for x in taken.groupBy("label").count().collect()}
     toxic, clean = sum(n for k, n in totals.items() if k), totals.get(0, 0)
     if not toxic or not clean:
@@ -228,13 +228,14 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
     counts = materialise(counts.withColumns({"toxic": F.col("toxic0") + F.col("toxic1"), "clean": F.col("clean0") + F.col("clean1")}), "units")
     sums = counts.where(~F.col("unit").contains(">")).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS)).first()
     all_toxic, all_clean = max(sums["toxic0"] + sums["toxic1"], 1), max(sums["clean0"] + sums["clean1"], 1)
-    # Only units of toxic documents, and words under their stems, can matter; the sample of rows bounds their number.
+    # Units of toxic documents, words under their stems, and words that are often seen; the sample of rows bounds their number.
     suspect = counts.where((F.col("toxic") > PER_TEXT) & (F.col("toxic") * all_clean > 2 * F.col("clean") * all_toxic))
     stems = F.broadcast(suspect.where(F.col("unit").contains(">")).select(F.col("unit").alias("stem")))
     letters = F.regexp_replace("unit", "^[0-9]>", "")
     above = F.array(*(F.when(F.length(letters) >= n, F.concat(F.lit(f"{n}>"), letters.substr(1, n))) for n in STEMS))
     under = counts.withColumn("stem", F.explode(above)).join(stems, "stem", "left_semi").select(counts.columns)
-    table = suspect.union(under).distinct().toPandas().sort_values("unit")
+    common = counts.where(~F.col("unit").contains(">") & (F.col("toxic") + F.col("clean") >= HARMLESS))
+    table = suspect.union(under).union(common).distinct().toPandas().sort_values("unit")
 
     def known(t: str, c: str, n_toxic: int, n_clean: int) -> dict[str, float]:
         enough = table[table[t] + table[c] > 0]
@@ -242,11 +243,12 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
 
     model = Model(known("toxic", "clean", all_toxic, all_clean))
     halves = [Model(known(f"toxic{k}", f"clean{k}", max(sums[f"toxic{k}"], 1), max(sums[f"clean{k}"], 1))) for k in (0, 1)]
-    # The chance of each positive score in harmless text.
+    # The chance of each score in harmless text.
     seen = dict(zip(table["unit"], table["clean"], strict=True))
-    positive = [(s, seen.get(u, 0) + 0.5) for u, s in model.known.items() if s > 0 and ">" not in u]
-    values, shares = np.array([s for s, _ in positive] + [-GAP]), np.array([n / all_clean for _, n in positive] + [1.0])
-    shares[-1] = max(1 - shares[:-1].sum(), 0.5)
+    scored = [(s, seen.get(u, 0) + 0.5) for u, s in model.known.items() if ">" not in u]
+    values, shares = np.array([s for s, _ in scored] + [-GAP]), np.array([n / all_clean for _, n in scored] + [0.0])
+    shares[-1] = max(1 - shares[:-1].sum(), 0.0)
+    shares /= shares.sum()
     model.rate = _solve_rate(values, shares)
     # Each half is judged by the other half's odds, so that the calibration sees what new texts get.
     sample = taken.mapInArrow(_extremes(halves), "label int, n long, scores array<double>").toPandas()
@@ -274,7 +276,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 0.01))
 
 
-def _append(model: Model, text_column: str, passages: bool):
+def _append(model: Model, text_column: str, passages: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model.known)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]))
@@ -282,43 +284,46 @@ def _append(model: Model, text_column: str, passages: bool):
             out, spans = [], []
             for text in batch.column(batch.schema.get_field_index(text_column)).to_pylist():
                 words = WORD.findall((text or "").lower())
-                found = model.find(words, scores)
-                own, counted = model.damped(words, scores, found)
+                values, found = model.find(words, scores)
+                own, counted = model.damped(words, values, found)
                 out.append(model.probability(model.evidence(counted, len(words))))
                 if passages:
                     places = [m.span() for m in WORD.finditer(text.lower())] if found else []
                     each = [(a, b, s, float(-np.expm1(-model.size * max(len(words), 1) * np.exp(-model.rate * d)))) for (a, b, s), d in zip(found, own, strict=True)]
                     spans.append([{"start": places[a][0], "end": places[b][1], "score": s, "p_value": p} for a, b, s, p in each])
             more = [pa.array(out, pa.float64())] + ([pa.array(spans, kind)] if passages else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_skerry_score", *["_skerry_passages"] * passages])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names[: 1 + passages]])
 
     return run
 
 
-def _scored(documents: DataFrame, columns: list[Column], model: Model, passages: bool, text: str = "text") -> DataFrame:
+def _scored(documents: DataFrame, columns: list[Column], model: Model, passages: bool, text: str = "text") -> tuple[DataFrame, str, str]:
+    """The columns, of which one is the text, with the score and the passages, and the names of these two."""
     chosen = documents.select(*columns)
+    names = fresh(chosen.columns, "score", "passages")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
-    extra = ", `_skerry_passages` array<struct<start:long,end:long,score:double,p_value:double>>" if passages else ""
-    return chosen.mapInArrow(_append(model, text, passages), f"{kinds}, `_skerry_score` double{extra}")
+    extra = f", `{names[1]}` array<struct<start:long,end:long,score:double,p_value:double>>" if passages else ""
+    return chosen.mapInArrow(_append(model, text, passages, names), f"{kinds}, `{names[0]}` double{extra}"), *names
 
 
 def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """For every document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold), passages.
 
-    Passages are all maximal scoring segments: character range in the lower-cased text, score, and the chance of one as
-    high anywhere in a harmless text of this length, for which a passage's word counts PER_TEXT times at most. Scores are functions of the text alone; the model goes to the executors
-    and its size is bounded by labelled_rows. Documents are scored where they lie, without a shuffle.
+    Passages are all maximal scoring segments over the scores of all words of the text: character range in the lower-cased text,
+    score, and the chance of one as high anywhere in a harmless text of this length, for which a passage's word counts PER_TEXT
+    times at most. Scores are functions of the text alone; the model goes to the executors and its size is bounded by
+    labelled_rows. Documents are scored where they lie, without a shuffle; a text is scanned whole, however long, in time linear in its length.
     A null or empty text has no passage and gets the score of no evidence. Repeated rows give repeated rows; a null doc_id isn't held out;
     an empty table gives an empty one; without labels of both kinds every document gets the base rate.
     Only doc_id and text are read.
     """
     model = train(documents, labels, labelled_rows)
-    rows = _scored(documents, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")], model, True)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_skerry_score").alias("score"), (F.col("_skerry_score") >= threshold).cast("int").alias("predicted"), F.col("_skerry_passages").alias("passages"))
+    rows, own, passages = _scored(documents, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")], model, True)
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(own).alias("score"), (F.col(own) >= threshold).cast("int").alias("predicted"), F.col(passages).alias("passages"))
 
 
 def keep_harmless(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """The documents, all their columns unchanged, whose score as of score() stays under the threshold."""
     model = train(documents, labels, labelled_rows)
-    rows = _scored(documents, [F.col(f"`{c}`") for c in documents.columns], model, False)
-    return rows.where(F.col("_skerry_score") < threshold).select(*(F.col(f"`{c}`") for c in documents.columns))
+    rows, own, _ = _scored(documents, [F.col(f"`{c}`") for c in documents.columns], model, False)
+    return rows.where(F.col(f"`{own}`") < threshold).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -21,7 +21,7 @@ from skerry.llm.words import shingles, split_words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-CLASHES = {"k1": "x", "label": "x", "_skerry_logit2": "x", "n": "x", "part": "x", "rest": "x"}
+CLASHES = {"k1": "x", "label": "x", "_skerry_logit": "x", "_skerry_id": "x", "n": "x", "part": "x", "rest": "x", "logit": "x", "score": "x", "id": "x", "removed": "x", "RANGES": "x", "_k1": "x", "host": "x", "site_logit": "x", "node": "x", "kept": "x"}
 
 
 def frame(spark, rows, schema="doc_id long, text string"):
@@ -500,6 +500,39 @@ def test_quality(spark, judged):
     assert {round(r["p_document"], 6) for r in quality.classify(documents, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_equals_brute_force(spark, judged, monkeypatch):
+    """Evidence by plain loops, posteriors by their formulas, over all rows."""
+    documents, labels = judged
+    model = quality.train(documents, labels)
+    rows = documents.select("doc_id", "text", "source", "lang").collect()
+    logits = [float(model.logit(quality.features(np.frombuffer(b := (r["text"] or "").encode(), np.uint8), np.array([0, len(b)])))[0]) for r in rows]
+    p = [1 / (1 + math.exp(-x)) for x in logits]
+    mean = (sum(p) + 1) / (len(p) + 2)
+    paths, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for r, x in zip(rows, p, strict=True):
+        paths[r["source"], r["lang"]].append(x)
+        hosts[r["source"]].append(x)
+
+    def strength(groups, centre):
+        between = sum(len(x) * (sum(x) / len(x) - centre(k)) ** 2 for k, x in groups.items())
+        chance = sum((sum(v * (1 - v) for v in x) + sum(x) * (1 - sum(x) / len(x))) / len(x) for x in groups.values())
+        return min(max(mean * (1 - mean) / max(1e-9, (between - chance) / len(p)) - 1, 20.0), 1e5)
+
+    k_host = strength(hosts, lambda k: mean)
+    at_host = {k: (sum(x) + k_host * mean) / (len(x) + k_host) for k, x in hosts.items()}
+    k_path = strength(paths, lambda k: at_host[k[0]])
+    site = {k: (sum(x) + k_path * at_host[k[0]]) / (len(x) + k_path) for k, x in paths.items()}
+    wanted = sorted((str(r["doc_id"]), 1 / (1 + math.exp(-(x + math.log(q / (1 - q)) - math.log(mean / (1 - mean)))))) for r, x in zip(rows, logits, strict=True) for q in [site[r["source"], r["lang"]]])
+    found = sorted((str(r["doc_id"]), r["p_quality"]) for r in quality.classify(documents, labels).collect())
+    assert [a for a, _ in found] == [a for a, _ in wanted] and [b for _, b in found] == pytest.approx([b for _, b in wanted])
+    kept = sorted(str(r["doc_id"]) for r in quality.keep_good(documents, labels).collect())
+    assert kept == [a for a, b in wanted if b >= 0.5]
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)  # sites that are too many for a broadcast
+    for n in (100_000, 100):
+        monkeypatch.setattr(quality, "FREQUENT_SITES", n)
+        assert sorted(str(r["doc_id"]) for r in quality.keep_good(documents, labels).collect()) == kept
+
+
 def test_sparse_sites_shrink_to_the_global_mean(spark):
     rows = [("big", "a", 3.0)] * 300 + [("bad", "a", -3.0)] * 300 + [("tiny", "a", -3.0)]
     sites, centre = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, logit double"))
@@ -521,7 +554,7 @@ def test_segments_are_ruzzo_tompa():
 
     for _ in range(200):
         x = [r.choice([-2.5, -1.0, -0.5, 1.25, 3.0]) + r.random() / 100 for _ in range(r.randint(0, 12))]
-        got = toxicity.segments(x, list(range(len(x))))
+        got = toxicity.segments(x)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute(x)]
         assert [s for *_, s in got] == pytest.approx([s for *_, s in brute(x)])
 
@@ -530,12 +563,41 @@ def test_passages_of_words_that_came_before_are_found():
     model = toxicity.Model({"vile": 3.0, "rotten": 3.0, "wretch": 3.0}, 1.0, 0.1, -2.0, 0.5)
     scores = toxicity.Scores(model.known)
     alone = " ".join(f"{w} {'so ' * 40}" for w in ["vile", "rotten", "wretch"] * 2).split()
-    found = model.find([*alone, "vile", "rotten", "wretch"], scores)
+    words = [*alone, "vile", "rotten", "wretch"]
+    values, found = model.find(words, scores)
     assert found[-1] == (len(alone), len(alone) + 2, 9.0) and len(found) == 7
     # Wherever it stands, the dense passage counts whole, and repetitions of one word don't.
-    assert max(s for *_, s in model.damped([*alone, "vile", "rotten", "wretch"], scores, found)[1]) == 9.0
+    assert max(s for *_, s in model.damped(words, values, found)[1]) == 9.0
     often = ["vile"] * 9
-    assert model.damped(often, scores, model.find(often, scores)) == ([6.0], [(0, 1, 6.0)])
+    assert model.damped(often, *model.find(often, scores)) == ([6.0], [(0, 1, 6.0)])
+
+
+def test_passages_equal_brute_force(spark, judged):
+    documents, labels = judged
+    model = toxicity.train(documents, labels)
+    assert any(v < -toxicity.GAP for v in model.known.values())
+    extra = spark.createDataFrame([(2000, "scum " * 3 + "clean " * 300 + "vile rotten scumbag wretch " * 2), (2001, "vile " * 5_000)], "doc_id long, text string")
+    rows = documents.select("doc_id", "text").union(extra)
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+
+    def best(x, first=0):
+        sums = np.concatenate([[0.0], np.cumsum(x)])
+        low = np.minimum.accumulate(sums)
+        b = int(np.argmax(np.round(sums - low, 9)))
+        if sums[b] - low[b] <= 1e-9:
+            return []
+        a = int(np.flatnonzero(np.abs(sums[:b] - low[b]) < 1e-9)[-1])
+        return [*best(x[:a], first), (first + a, first + b - 1, sums[b] - sums[a]), *best(x[b:], first + b)]
+
+    scores = toxicity.Scores(model.known)
+    n = 0
+    for r in toxicity._scored(rows, [F.col("doc_id"), F.col("text")], model, True)[0].collect():
+        words = list(toxicity.WORD.finditer((texts[r["doc_id"]] or "").lower()))
+        wanted = best(np.array([scores[m[0]] for m in words]))
+        assert [(p["start"], p["end"]) for p in r["passages"]] == [(words[a].start(), words[b].end()) for a, b, _ in wanted]
+        assert [p["score"] for p in r["passages"]] == pytest.approx([s for *_, s in wanted])
+        n += len(wanted)
+    assert n > 100
 
 
 def test_toxicity(spark, judged):
