@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized, slices, small_batches, utf8
+from .common import fits, fresh, materialise, sized, slices, small_batches, text_key, utf8
 from .words import LOWER, split_words, word_hashes
 
 #: The classifier learns from at most so many labelled rows, those with the least hash of doc_id.
 LABELLED_ROWS = 20_000
+#: Sites with the most rows, so many at most, are looked up in a table that all tasks hold, where all sites are too many for one.
+FREQUENT_SITES = 100_000
 
 #: Classes of bytes whose shares of a text are features.
 CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "blank": b" \t", "line": b"\n\r", "stop": b".", "comma": b",", "mark": b"!?", "bar": b"|", "sign": b"#$%&*@^~+=<>_\\/", "other": b"\"'()-:;[]{}`"}
@@ -86,11 +90,13 @@ def _text_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
-    """Fit on at most `rows` labelled documents. Labels: doc_id, quality; rows with nulls are left out, of several for an id the least counts."""
+    """Fit on at most `rows` labelled documents. Labels: doc_id, quality; rows with nulls are left out, of several for an id the least counts, of several texts the one of least hash."""
     small_batches(documents)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("label"))
     known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(rows))  # bounded by rows
     taken = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(known, "id")
+    text = F.coalesce("text", F.lit(""))  # an id may stand in many rows
+    taken = taken.groupBy("id").agg(F.first("label").alias("label"), F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
     found = taken.select("label", "text").mapInArrow(_text_features, "label int, x array<double>").toArrow()
     width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
     x = np.array(found.column("x").to_pylist(), float).reshape(found.num_rows, width)
@@ -98,20 +104,20 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
     return fit(x[order], found.column("label").to_numpy()[order].astype(float))
 
 
-def _append_logit(model: Model, text_column: str):
+def _append_logit(model: Model, text_column: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column):
             z = model.logit(features(*utf8(batch.column(batch.schema.get_field_index(text_column)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z)], [*batch.schema.names, "_skerry_logit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z)], [*batch.schema.names, name])
 
     return run
 
 
-def _evidence(documents: DataFrame, columns: list[Column], model: Model, text: str = "text") -> DataFrame:
-    """The chosen columns, of which one is the text, with `_skerry_logit`: the classifier's evidence for good quality."""
+def _evidence(documents: DataFrame, columns: list[Column], model: Model, name: str, text: str = "text") -> DataFrame:
+    """The chosen columns, of which one is the text, with one more of this name: the classifier's evidence for good quality."""
     chosen = documents.select(*columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
-    return chosen.mapInArrow(_append_logit(model, text), f"{kinds}, `_skerry_logit` double")
+    return chosen.mapInArrow(_append_logit(model, text, name), f"{kinds}, `{name}` double")
 
 
 def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
@@ -145,8 +151,8 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
 
 
 def _sites(documents: DataFrame, host: Column, path: Column, model: Model) -> tuple[DataFrame, DataFrame, float]:
-    scored = _evidence(documents, [F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("text").cast("string").alias("text")], model)
-    scored = materialise(scored.select("doc_id", "host", "path", F.col("_skerry_logit").alias("logit")), "evidence")
+    scored = _evidence(documents, [F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("text").cast("string").alias("text")], model, "logit")
+    scored = materialise(scored.select("doc_id", "host", "path", "logit", *text_key("text")), "evidence")
     sites, centre = site_posteriors(scored)
     return scored, materialise(sites, "sites"), centre
 
@@ -168,11 +174,38 @@ def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """The documents, all their columns unchanged, whose p_quality as of classify() reaches the threshold."""
+    """The documents, all their columns unchanged, whose p_quality as of classify() reaches the threshold.
+
+    A few sites are broadcast, and texts are read once more without a shuffle. If sites are too many for that, rows are judged
+    in the table of evidence, which has no texts, and verdicts come back by doc_id and text: those of the rejected rows, so most rows
+    meet nothing. Rows that are alike in doc_id, text, host and path have one verdict.
+    """
     model = train(documents, labels, labelled_rows)
-    _, sites, centre = _sites(documents, F.col(host), F.col(path), model)
-    sites = sized(sites.withColumnsRenamed({"host": "_skerry_host", "path": "_skerry_path", "site_logit": "_skerry_site"}), 100)
-    scored = _evidence(documents, [F.col(f"`{c}`") for c in documents.columns], model)
-    joined = scored.join(sites, F.col(host).cast("string").eqNullSafe(F.col("_skerry_host")) & F.col(path).cast("string").eqNullSafe(F.col("_skerry_path")), "left")
-    p = 1 / (1 + F.exp(-(F.col("_skerry_logit") + F.col("_skerry_site") - centre)))
-    return joined.where(p >= threshold).select(*(F.col(f"`{c}`") for c in documents.columns))
+    names = documents.columns
+    scored, sites, centre = _sites(documents, F.col(f"`{host}`"), F.col(f"`{path}`"), model)
+    site_host, site_path, site_logit, logit = fresh(names, "site_host", "site_path", "site_logit", "logit")
+    sites = sites.withColumnsRenamed({"host": site_host, "path": site_path, "site_logit": site_logit})
+    of_host, of_path = F.col(f"`{host}`").cast("string"), F.col(f"`{path}`").cast("string")
+    if fits(sites, 100):
+        rows = _evidence(documents, [F.col(f"`{c}`") for c in names], model, logit)
+        rows = rows.join(F.broadcast(sites), of_host.eqNullSafe(F.col(site_host)) & of_path.eqNullSafe(F.col(site_path)), "left")
+        own = F.col(f"`{logit}`") + F.col(f"`{site_logit}`") - centre
+        return rows.where(1 / (1 + F.exp(-own)) >= threshold).select(*(F.col(f"`{c}`") for c in names))
+    # Sites that many rows share go by a table that is bounded by its rows' number, the others by shuffle; no text does.
+    counted = scored.groupBy("host", "path").agg(F.count("*").alias("n"))
+    least = max(1, -(-scored.count() // FREQUENT_SITES))
+    large = F.broadcast(counted.where(F.col("n") >= least).select("host", "path"))
+    alike = lambda a, b: a["host"].eqNullSafe(b[site_host]) & a["path"].eqNullSafe(b[site_path])
+    same = (sites[site_host].eqNullSafe(large["host"])) & (sites[site_path].eqNullSafe(large["path"]))
+    often, rest = F.broadcast(sites.join(large, same, "left_semi")), sites.join(large, same, "left_anti")
+    in_large = scored["host"].eqNullSafe(large["host"]) & scored["path"].eqNullSafe(large["path"])
+    judged = scored.join(often, alike(scored, often)).select(*scored.columns, site_logit)
+    judged = judged.union((few := scored.join(large, in_large, "left_anti")).join(rest, alike(few, rest)).select(*scored.columns, site_logit))
+    bad = judged.where(1 / (1 + F.exp(-(F.col("logit") + F.col(site_logit) - centre))) < threshold)
+    key = ["doc_id", "k1", "k2", "host", "path"]
+    verdict = fresh(names, *key)
+    bad = sized(materialise(bad.select(*(F.col(c).alias(n) for c, n in zip(key, verdict, strict=True))).distinct(), "rejected"), 80)
+    k1, k2 = text_key("text")
+    own = [F.col("doc_id").cast("long"), k1, k2, of_host, of_path]
+    match = [a.eqNullSafe(bad[n]) for a, n in zip(own, verdict, strict=True)]
+    return documents.join(bad, reduce(and_, match), "left_anti")

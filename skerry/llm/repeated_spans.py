@@ -443,7 +443,7 @@ def cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def _removed(digests: bool, names: list[str], ranges_name: str):
+def _removed(digests: bool, names: list[str], ranges_name: str, gone_name: str = "removed"):
     """Rows with text and ranges, as digests of what remains or as the columns names with text cut and the number of bytes removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,7 +464,7 @@ def _removed(digests: bool, names: list[str], ranges_name: str):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), gone, pa.array(runs, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
             else:
                 new = pc.if_else(pc.greater(gone, 0), pa.array(texts, column.type), column)
-                yield pa.RecordBatch.from_arrays([*(new if c == "text" else batch.column(i) for i, c in enumerate(names)), gone], [*names, "removed"])
+                yield pa.RecordBatch.from_arrays([*(new if c == "text" else batch.column(i) for i, c in enumerate(names)), gone], [*names, gone_name])
 
     return run
 
@@ -515,7 +515,7 @@ def drop_repeated(documents: DataFrame, span: int = 400, drop_empty: bool = True
     rows, name = _with_ranges(documents, [F.col(f"`{c}`") for c in names], span)
     (gone,) = fresh(names, "removed")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    rows = rows.select(*(F.col(f"`{c}`") for c in names), name).mapInArrow(_removed(False, names, name), f"{kinds}, `{gone}` long")
+    rows = rows.select(*(F.col(f"`{c}`") for c in names), name).mapInArrow(_removed(False, names, name, gone), f"{kinds}, `{gone}` long")
     if drop_empty:
         rows = rows.where((F.col(gone) == 0) | (F.col("text") != ""))
     return rows.drop(gone)
