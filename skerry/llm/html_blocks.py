@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,38 +17,105 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches
 
-#: The model learns from at most so many pages of the table, those with the least hash of their id and of at most LABELLED_BYTES, and so many made ones.
-LABELLED_PAGES, LABELLED_BYTES, MADE_PAGES = 200, 60_000, 500
+#: The model learns from at most so many pages of the table, those with the least hash of their id, of at most LABELLED_BYTES and LABELLED_BLOCKS, and so many made ones.
+LABELLED_PAGES, LABELLED_BYTES, LABELLED_BLOCKS, MADE_PAGES = 200, 60_000, 400, 500
 
 # Elements that begin a block, that hold no text of the page, and that have no end tag.
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-HIDDEN = frozenset("script style template noscript head title svg math iframe object canvas audio video textarea xmp noembed noframes".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul xmp".split())
+HIDDEN = frozenset("script style template noscript head title iframe object canvas audio video textarea noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of these ends where one of its right side begins.
-ENDS_BEFORE = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
+ENDS_BEFORE = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "tfoot": {"tbody", "tfoot"}}
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
+#: A comment, a declaration, a tag whose attributes hold neither < nor > between quotes, or the beginning of any other tag.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><\"']*)((?:\"[^\"<>]*\"|'[^'<>]*'|[^<>\"'])*+)>|<(/?)([a-zA-Z][^\s/><\"']*)", re.DOTALL)
+QUOTES = re.compile(r"[\"'>]")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 NAME_PARTS = re.compile(r"[a-z]+|[0-9]+")
 
 
+class Path:
+    """The open elements about a block, one for equal paths of a page: the last one's descriptor (tag and name words), and what holds of them all.
+
+    names are the features of their tags and words, shared with the elements above where nothing is new; if a vocabulary is given,
+    only those in it, so that no path has more than the model knows, however deep it is.
+    """
+
+    __slots__ = ("above", "depth", "element", "features", "last", "names", "under", "vocabulary")
+
+    def __init__(self, above: Path | None = None, element: str = "", vocabulary=None):
+        self.above, self.element, self.under, self.features = above, element, {}, None
+        self.depth, self.last, self.names, self.vocabulary = 0, "-", frozenset(), vocabulary
+        if above is not None:
+            tag, *words = element.split(" ")
+            self.depth, self.vocabulary = above.depth + 1, above.vocabulary
+            self.last = tag if tag in BLOCKS else above.last
+            new = {f"in {tag}", *(f"named {w}" for w in words)} - above.names
+            if self.vocabulary is not None:
+                new = {f for f in new if f in self.vocabulary}
+            self.names = above.names | new if new else above.names
+
+    def enter(self, element: str) -> Path:
+        if (found := self.under.get(element)) is None:
+            found = self.under[element] = Path(self, element)
+        return found
+
+    def elements(self) -> list[str]:
+        out, at = [], self
+        while at.above is not None:
+            out.append(at.element)
+            at = at.above
+        return out[::-1]
+
+
 @dataclass
 class Block:
-    """A leaf block: its text, the open elements about it (tag and name words), the characters inside links, and a count of line breaks."""
+    """A leaf block: its text, the open elements about it, the characters inside links, and a count of line breaks."""
 
     text: str
-    path: tuple[str, ...]
+    path: Path
     linked: int
     breaks: int
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The blocks of a page with any text, in page order; white space in a block is single spaces."""
+class _Ends:
+    """Where tags end whose attributes need more than a look: the first > outside quotes, else the first > at all. All of a page are found in one pass backwards."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.ends = page, [], []
+        plain = double = single = -1
+        for m in reversed(list(QUOTES.finditer(page))):
+            c = m[0]
+            if c == ">":
+                plain = m.start()
+            elif c == '"':
+                plain, double = double, plain
+            else:
+                plain, single = single, plain
+            self.at.append(-m.start())
+            self.ends.append(plain)
+        self.at.reverse()
+        self.ends.reverse()
+        self.at = [-x for x in self.at]
+
+    def after(self, place: int) -> int:
+        k = bisect_left(self.at, place)
+        found = self.ends[k] if k < len(self.at) else -1
+        return found if found >= 0 else self.page.find(">", place) if k < len(self.at) else -1
+
+
+def leaf_blocks(page: str, vocabulary=None) -> list[Block]:
+    """The blocks of a page with any text, in page order; white space in a block is single spaces. The time is linear in the page's length, however it is nested or broken."""
     out: list[Block] = []
-    open_elements: list[tuple[str, str]] = []  # (tag, descriptor)
+    open_elements: list[tuple[str, Path]] = []
+    open_tags: Counter[str] = Counter()
+    open_blocks: list[int] = []  # places of blocks in open_elements
+    root = Path(vocabulary=vocabulary)
     texts: list[str] = []
-    linked = breaks = links = 0
-    where: tuple[str, ...] = ()
+    linked = breaks = 0
+    where = root
+    ends: _Ends | None = None
+    found_at: dict[str, int] = {}  # the next end of a hidden element, or start of the body
 
     def finish() -> None:
         nonlocal linked, breaks
@@ -58,24 +127,32 @@ def leaf_blocks(page: str) -> list[Block]:
         linked = breaks = 0
 
     def close(to: int) -> None:
-        nonlocal links
         for tag, _ in open_elements[to:]:
-            links -= tag == "a"
+            open_tags[tag] -= 1
             if tag in BLOCKS:
                 finish()
         del open_elements[to:]
+        while open_blocks and open_blocks[-1] >= to:
+            open_blocks.pop()
 
     def add(raw: str) -> None:
         nonlocal linked, where
         if not texts:
             if not raw.strip():
                 return
-            where = tuple(d for _, d in open_elements)
+            where = open_elements[-1][1] if open_elements else root
         text = html.unescape(raw) if "&" in raw else raw
         texts.append(text)
-        if links:
+        if open_tags["a"]:
             linked += len(text.strip())
 
+    def next_of(pattern: str, at: int) -> int:
+        """The end of the first match from at on, or n + 1; each stretch of the page is searched once for a pattern."""
+        if found_at.get(pattern, -1) < at:
+            m = re.compile(pattern, re.IGNORECASE).search(page, at)
+            found_at[pattern] = (m.start() if pattern.startswith("<body") else m.end()) if m else n + 1
+        return found_at[pattern]
+
     at, n = 0, len(page)
     while at < n:
         m = MARKUP.search(page, at)
@@ -85,41 +162,49 @@ def leaf_blocks(page: str) -> list[Block]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if m[5]:
+            ends = ends or _Ends(page)
+            end = ends.after(at)
+            if end < 0:
+                add(m[0])
+                continue
+            tag, ending, attributes, at = m[5], m[4], page[at:end], end + 1
+        elif m[2]:
+            tag, ending, attributes = m[2], m[1], m[3]
+        else:
             continue
-        tag, ending, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        tag = tag.lower()
         if ending:
-            for k in range(len(open_elements) - 1, -1, -1):
-                if open_elements[k][0] == tag:
-                    close(k)
-                    break
-            else:
-                if tag in BLOCKS:
-                    finish()
+            if open_tags[tag] > 0:
+                k = len(open_elements) - 1
+                while open_elements[k][0] != tag:
+                    k -= 1
+                close(k)
+            elif tag in BLOCKS:
+                finish()
             continue
         if tag in HIDDEN:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+                end = next_of(rf"</{re.escape(tag)}\s*>", at)
                 if tag == "head":  # may lack its end tag
-                    body = re.compile(r"<body\b", re.IGNORECASE).search(page, at)
-                    at = min([x for x in (end and end.end(), body and body.start()) if x], default=at)
+                    end = min(end, next_of(r"<body\b", at))
+                    at = end if end <= n else at
                 else:
-                    at = end.end() if end else n
+                    at = min(end, n)
             continue
         if tag in BLOCKS:
             finish()
             # A block ends an open paragraph of the same container, and list items, cells and rows end their like.
-            for k in range(len(open_elements) - 1, -1, -1):
+            while open_blocks:
+                k = open_blocks[-1]
                 name = open_elements[k][0]
                 if name == "p" and tag not in ("option", "optgroup"):
                     close(k)
                     break
-                if tag in ENDS_BEFORE.get(name, ()):
-                    close(k)
-                    if tag != "tr":
-                        break
-                elif name in BLOCKS and name not in ("tbody", "thead", "tfoot") and name != "p":
+                if tag not in ENDS_BEFORE.get(name, ()):
+                    break
+                close(k)
+                if tag != "tr":
                     break
         if tag == "br":
             if texts:
@@ -128,33 +213,33 @@ def leaf_blocks(page: str) -> list[Block]:
         elif tag not in VOID:
             if not attributes.endswith("/") or tag in BLOCKS:
                 words = {w for found in NAMED.findall(attributes) for w in NAME_PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower())} if "=" in attributes else ()
-                open_elements.append((tag, " ".join([tag, *sorted(words)])))
-                links += tag == "a"
+                path = (open_elements[-1][1] if open_elements else root).enter(" ".join([tag, *sorted(words)]))
+                if tag in BLOCKS:
+                    open_blocks.append(len(open_elements))
+                open_elements.append((tag, path))
+                open_tags[tag] += 1
     finish()
     return out
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
+def path_features(path: Path) -> tuple[str, ...]:
     """The tags and name words of the elements about a block, of the last element apart."""
-    out = {"bias", f"depth {min(len(path), 8)}"}
-    for element in path:
-        tag, *names = element.split(" ")
-        out.add(f"in {tag}")
-        out.update(f"named {w}" for w in names)
-    tags = [e.split(" ", 1)[0] for e in path if e.split(" ", 1)[0] in BLOCKS]
-    out.add(f"last {tags[-1] if tags else '-'}")
-    if not {"in article", "in main"} & out:
-        out.add("no article")
-    return sorted(out)
+    if path.features is None:
+        out = {"bias", f"depth {min(path.depth, 8)}", f"last {path.last}", *path.names}
+        if not {"in article", "in main"} & path.names:
+            out.add("no article")
+        path.features = tuple(sorted(out))
+    return path.features
 
 
-ENDING = re.compile(r"[.!?…。:;][\"'»”)\]]*$")
+#: Marks that end a sentence, and what may stand after them.
+ENDS, CLOSERS = tuple(".!?…。:;"), "\"'»”)]"
 
 
 def text_features(block: Block, number: int, count: int) -> list[str]:
     """Features of a block's text and place in the page."""
     n, words = len(block.text), block.text.count(" ") + 1
-    out = [f"size {min(n, 4000).bit_length()}", f"words {min(words, 255).bit_length()}", f"linked {round(4 * block.linked / n)}", "ends" if ENDING.search(block.text) else "open"]
+    out = [f"size {min(n, 4000).bit_length()}", f"words {min(words, 255).bit_length()}", f"linked {round(4 * block.linked / n)}", "ends" if block.text.rstrip(CLOSERS).endswith(ENDS) else "open"]
     if number == 0:
         out.append("first")
     if number == count - 1:
@@ -179,9 +264,10 @@ class Field:
         known = {} if known is None else known
         scores, back = None, []
         for i, block in enumerate(blocks):
-            if (about := known.get(block.path)) is None:
-                found = [self.weights[f] for f in path_features(block.path) if f in self.weights]
-                about = known[block.path] = (sum(a for a, _ in found), sum(b for _, b in found))
+            features = path_features(block.path)
+            if (about := known.get(features)) is None:
+                found = [self.weights[f] for f in features if f in self.weights]
+                about = known[features] = (sum(a for a, _ in found), sum(b for _, b in found))
             a, b = about
             for f in text_features(block, i, len(blocks)):
                 if w := self.weights.get(f):
@@ -191,7 +277,7 @@ class Field:
                 scores = (a, b)
                 continue
             (aa, ab), (ba, bb) = self.pairs
-            if block.path == blocks[i - 1].path:
+            if block.path is blocks[i - 1].path:
                 (sa, sb), (ta, tb) = self.same
                 aa, ab, ba, bb = aa + sa, ab + sb, ba + ta, bb + tb
             to_a, to_b = (scores[0] + aa, scores[1] + ba), (scores[0] + ab, scores[1] + bb)
@@ -217,7 +303,7 @@ def fit_field(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, rat
     for p, (blocks, y) in enumerate(pages):
         labels[p, : len(y)], there[p, : len(y)] = y, True
         for i, block in enumerate(blocks):
-            same[p, i] = i > 0 and block.path == blocks[i - 1].path
+            same[p, i] = i > 0 and block.path is blocks[i - 1].path
             for f in (*path_features(block.path), *text_features(block, i, len(blocks))):
                 rows.append(p * longest + i)
                 columns.append(names.setdefault(f, len(names)))
@@ -262,14 +348,14 @@ ASIDE_TAGS = frozenset("nav aside footer form button select dialog menu".split()
 def labelled(page: str) -> tuple[list[Block], list[int]] | None:
     """The labels that the page's own markup gives: what is in its only article element, without parts named as something else."""
     blocks = leaf_blocks(page)
-    if len(re.findall(r"<article\b", page, re.IGNORECASE)) != 1:
+    if len(re.findall(r"<article\b", page, re.IGNORECASE)) != 1 or not 0 < len(blocks) <= LABELLED_BLOCKS:
         return None
     labels = []
     for block in blocks:
-        elements = [e.split(" ") for e in block.path]
+        elements = [e.split(" ") for e in block.path.elements()]
         inside = next((k for k, e in enumerate(elements) if e[0] == "article"), None)
         labels.append(int(inside is not None and not any(e[0] in ASIDE_TAGS or ASIDE.intersection(e[1:]) for e in elements[inside + 1 :])))
-    return (blocks, labels) if blocks and len(blocks) <= 400 else None
+    return blocks, labels
 
 
 def made_page(r: random.Random) -> tuple[list[Block], list[int]]:
@@ -377,7 +463,7 @@ def _extract(model: Field):
         for batch in slices(batches, "html"):
             texts = []
             for page in batch.column("html").to_pylist():
-                blocks = leaf_blocks(page or "")
+                blocks = leaf_blocks(page or "", model.weights)
                 if len(known) > 50_000:
                     known.clear()
                 texts.append("\n".join(b.text for b, label in zip(blocks, model.decode(blocks, known), strict=True) if label))
@@ -390,8 +476,10 @@ def extract_text(pages: DataFrame, labelled_pages: int = LABELLED_PAGES, made_pa
     """For every page: page_id, url, text (its article's blocks, one a line), n_chars.
 
     The field is fitted on the driver on a bounded number of pages; its weights, some hundred, go to the executors, and pages are read
-    where they lie, whole, without a shuffle. A null or empty html, or one without an article, gives the empty text. A line
-    break element counts as white space. Repeated rows give repeated rows; only page_id, url and html are read.
+    where they lie, whole and in linear time, without a shuffle. It is fitted on pages of at most LABELLED_BYTES and LABELLED_BLOCKS; all pages are read.
+    A null or empty html, or one without an article, gives the empty text; an empty table gives an empty one. A line break element counts as white space. What
+    browsers show in place of an element only (noscript, object, canvas, audio, video) is no text of the page; formulas and
+    drawings have theirs. Repeated rows give repeated rows; only page_id, url and html are read.
     """
     small_batches(pages)
     model = train(pages, labelled_pages, made_pages)
