@@ -69,14 +69,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 ORACLE_SQL: dict[str, str] = {
     "op2_segment_topk": """
-        WITH whole AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
-            FROM embeddings
+        WITH fine AS (
+            SELECT vec_id, embedding FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+        ), candidates AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM fine
+        ), asked AS (
+            SELECT vec_id, list_transform(min(embedding), lambda x: floor(1024 * x::DOUBLE)) AS v FROM fine WHERE vec_id % 100 = 0 GROUP BY vec_id
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-            FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+            FROM asked q JOIN candidates c ON c.vec_id <> q.vec_id
         ), ranked AS (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
         )
