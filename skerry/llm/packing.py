@@ -77,21 +77,18 @@ def _tokenise(name: str, window: int, separator: int):
     return run
 
 
-def combinations(lengths: np.ndarray, window: int, depth: int = 3, most: int = 60_000) -> list[tuple[int, ...]]:
-    """The combinations of up to depth of these lengths that fill a window exactly, shallow ones first, at most most of them."""
+def combinations(lengths: np.ndarray, window: int, depth: int = 3) -> list[tuple[int, ...]]:
+    """All combinations of two and, at depth 3, three of these lengths that fill a window exactly, shallow ones first: about window^2 / 12 at most."""
     there = np.zeros(window + 1, bool)
     there[lengths] = True
     found: list[tuple[int, ...]] = [(int(a), int(window - a)) for a in lengths if a <= window - a and there[window - a]]
     if depth >= 3:
-        # The same stride through all first members keeps every length represented where there are too many.
         triples = []
         for a in lengths:
             b = lengths[(lengths >= a) & (window - a - lengths >= lengths)]
             b = b[there[window - a - b]]
             triples.append(np.column_stack([np.full(len(b), a), b, window - a - b]))
-        every = np.concatenate(triples) if triples else np.zeros((0, 3), np.int64)
-        stride = max(1, -(-len(every) // most))
-        found += [tuple(map(int, x)) for x in every[::stride]]
+        found += [tuple(x) for some in triples for x in some.tolist()]
     return found
 
 

@@ -3,8 +3,11 @@
 import collections
 import hashlib
 import math
+import operator
 import random
+import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +120,11 @@ def test_packing_plan_places_all_once(counts):
     assert max(filled.values(), default=0) <= window
 
 
+def test_all_combinations_are_enumerated():
+    every = packing.combinations(np.arange(1, 1024), 1024)
+    assert len(every) == len(set(every)) == 512 + sum(1 for a in range(1, 1023) for b in range(a, (1024 - a) // 2 + 1))
+
+
 def test_least_squares_repeats():
     histogram = np.zeros(1024, np.int64)
     histogram[[300, 724, 500, 24]] = 100, 100, 50, 50
@@ -132,7 +140,7 @@ def test_least_squares_repeats():
 def brute_top(rows, queries, k):
     out = {}
     for q, v in queries:
-        scored = sorted(((-int(np.dot(v, w)), i) for i, w in rows if i != q and len(w) == len(v)))[:k]
+        scored = sorted((-min(max(sum(map(operator.mul, v, w)), -(2**63)), 2**63 - 1), i) for i, w in rows if i != q and len(w) == len(v))[:k]
         out[q] = [(i, -s) for s, i in scored]
     return out
 
@@ -142,13 +150,16 @@ def test_top_k(spark, dimensions, block):
     r = np.random.default_rng(5)
     data = [(i, (r.normal(size=dimensions) * r.choice([0.1, 1.0])).tolist()) for i in range(400)]
     data += [(400 + i, data[0][1]) for i in range(30)]  # ties
-    bad = [(1000, None), (1100, [None] * dimensions), (1200, [float("nan")] * dimensions), (None, data[1][1]), (1300, []), (1400, [1.0] * (dimensions + 1)), (1500, [1e300] * dimensions)]
+    bad = [(1000, None), (1100, [None] * dimensions), (1200, [float("nan")] * dimensions), (None, data[1][1]), (1300, []), (1400, [1.0] * (dimensions + 1)), (1600, [float("-inf")] * dimensions)]
+    # Components whose products don't fit a long, or whose scaled values don't fit a double.
+    data += [(1500 + i, [x] * dimensions) for i, x in enumerate((1e300, -1.7e308, 200_000.0, 3e9, -3e9))]
+    data += [(1700, [200_000.0 if k % 2 else 1.0 for k in range(dimensions)]), (1800, [3e9 if k % 2 else -3e9 for k in range(dimensions)])]
     df = frame(spark, data + bad, "vec_id long, embedding array<double>").repartition(3)
     found = collections.defaultdict(list)
     for x in topk.top_k(df, df.where("vec_id % 100 = 0"), 10, block=block).collect():
         found[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
-    whole = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in data]
-    wanted = brute_top(whole + [(1400, np.full(dimensions + 1, 1024))], [x for x in whole if x[0] % 100 == 0], 10)
+    whole = [(i, [math.floor(Fraction(x) * 1024) for x in v]) for i, v in data]
+    wanted = brute_top([*whole, (1400, [1024] * (dimensions + 1))], [x for x in whole if x[0] % 100 == 0], 10)
     assert {q: [(i, s) for _, i, s in sorted(v)] for q, v in found.items()} == wanted
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
@@ -415,7 +426,7 @@ def test_html_blocks():
     page = "<head><title>t</title></head><body><nav><a href=x>n</a></nav><article><h1>A &amp; b</h1><p>One\n two<p>Three <b>bold</b><br>x<ul><li>i1<li>i2</ul></article><!-- <p>c</p> --><script>var t='</p>'</script>"
     blocks = html_blocks.leaf_blocks(page)
     assert [b.text for b in blocks] == ["n", "A & b", "One two", "Three bold x", "i1", "i2"]
-    assert blocks[0].linked == 1 and "article" in blocks[1].path and blocks[2].path[-1] == "p"
+    assert blocks[0].linked == 1 and "article" in blocks[1].path.elements() and blocks[2].path.elements()[-1] == "p"
     assert html_blocks.leaf_blocks("") == [] == html_blocks.leaf_blocks("<p> <div class='x")[:0]
 
 
@@ -433,7 +444,8 @@ def test_field_on_held_out_pages():
 
 def test_viterbi_is_the_best_of_all_labellings():
     r = random.Random(5)
-    blocks = [html_blocks.Block("x" * r.randint(1, 90), ("body", r.choice(["p", "div ad"])), 0, 0) for _ in range(7)]
+    body = html_blocks.Path().enter("body")
+    blocks = [html_blocks.Block("x" * r.randint(1, 90), body.enter(r.choice(["p", "div ad"])), 0, 0) for _ in range(7)]
     names = {f for i, b in enumerate(blocks) for f in (*html_blocks.path_features(b.path), *html_blocks.text_features(b, i, 7))}
     model = html_blocks.Field({f: (r.gauss(0, 1), r.gauss(0, 1)) for f in sorted(names)}, ((0.3, -1.0), (0.2, 0.9)), ((0.1, -0.4), (0.0, 0.3)))
 
@@ -449,6 +461,83 @@ def test_viterbi_is_the_best_of_all_labellings():
     assert model.decode(blocks) == best
 
 
+@pytest.mark.parametrize("make", [lambda n: "<b>x<p>y</p>" * n, lambda n: '<p class="x>text</p>' * n, lambda n: "<head>x" * n, lambda n: "<a<" * n, lambda n: "".join(f"<div class=c{i}>x" for i in range(n)), lambda n: "<table><tr><td>" * n, lambda n: "<i>" * n + "</b>x" * n])
+def test_broken_pages_take_linear_time(make):
+    page = make(8_000)
+    began = time.perf_counter()
+    html_blocks.leaf_blocks(page, {"in b": (0.0, 0.0)})
+    assert time.perf_counter() - began < 1.5
+
+
+def test_extraction_equals_brute_force(spark):
+    """Blocks by the standard library's parser, labels by trying them all, over a made table."""
+    from html.parser import HTMLParser
+
+    class Leaves(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.parts, self.found, self.linked, self.breaks, self.where = [], [], [], 0, 0, None
+
+        def finish(self):
+            text = " ".join("".join(self.parts).split())
+            if text:
+                path = html_blocks.Path()
+                for element in self.where:
+                    path = path.enter(element)
+                self.found.append((text, tuple(self.where), path, min(self.linked, len(text))))
+            self.parts, self.linked = [], 0
+
+        def handle_starttag(self, tag, attributes):
+            if tag in html_blocks.BLOCKS:
+                self.finish()
+            self.open.append(" ".join([tag, *sorted({w for k, v in attributes if k in ("class", "id") for w in v.split("-")})]))
+
+        def handle_endtag(self, tag):
+            if tag in html_blocks.BLOCKS:
+                self.finish()
+            self.open.pop()
+
+        def handle_data(self, data):
+            if not self.parts and not data.strip():
+                return
+            if not self.parts:
+                self.where = list(self.open)
+            self.parts.append(data)
+            self.linked += len(data.strip()) if any(x.split()[0] == "a" for x in self.open) else 0
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(1, 9)))
+    text = lambda: " ".join(word() for _ in range(r.randint(1, 30))) + r.choice([".", "", "&amp;", "?&quot;"])
+    piece = lambda: r.choice([f"<p>{text()}</p>", f"<div class='ad-box'><p>{text()}</p></div>", f"<ul><li><a href='/x'>{word()}</a></li></ul>", f"<h2>{text()}</h2>", f"<p>{text()} <b>{text()}</b>\n {text()}</p>", f"<aside>{text()}</aside>"])
+    pages = [(i, f"http://x/{i}", f"<html><body><nav><a href='/'>{word()}</a></nav><article>{''.join(piece() for _ in range(r.randint(0, 5)))}</article><footer>{text()}</footer></body></html>") for i in range(60)]
+    table = frame(spark, pages, "page_id long, url string, html string")
+    model = html_blocks.train(table, made_pages=40)
+    found = collected(html_blocks.extract_text(table, made_pages=40), "page_id")
+    n = 0
+    for i, _, page in pages:
+        parser = Leaves()
+        parser.feed(page)
+        parser.finish()
+        blocks = [html_blocks.Block(text, path, linked, 0) for text, _, path, linked in parser.found]
+        costs = [[sum(model.weights.get(f, (0.0, 0.0))[y] for f in (*html_blocks.path_features(b.path), *html_blocks.text_features(b, k, len(blocks)))) for y in (0, 1)] for k, b in enumerate(blocks)]
+        same = [k > 0 and parser.found[k][1] == parser.found[k - 1][1] for k in range(len(blocks))]
+
+        def total(labels, costs=costs, same=same):
+            return sum(costs[k][y] + (model.pairs[labels[k - 1]][y] + same[k] * model.same[labels[k - 1]][y] if k else 0) for k, y in enumerate(labels))
+
+        best = max(([m >> k & 1 for k in range(len(blocks))] for m in range(1 << len(blocks))), key=total)
+        wanted = "\n".join(b.text for b, y in zip(blocks, best, strict=True) if y)
+        assert found[i]["text"] == wanted and found[i]["n_chars"] == len(wanted)
+        n += bool(wanted)
+    assert n > 30
+
+
+def test_formulas_in_the_article_stay(spark):
+    page = "<body><article><p>Area is <math><mi>x</mi></math> wide, and <svg><text>lab</text></svg> stands here.</p></article></body>"
+    (row,) = html_blocks.extract_text(frame(spark, [(1, "u", page)], "page_id long, url string, html string"), made_pages=200).collect()
+    assert row["text"] == "Area is x wide, and lab stands here."
+
+
 def test_extraction(spark):
     page = "<body><header><h1>Site</h1></header><article><h1>Title</h1><p>First&nbsp;text here.</p><p>Second, longer text of the article.</p></article><div class=comments><p>a comment</p></div><footer>f</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", page), (None, "u", page)]
