@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import words
-
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product; the longer vector's rest counts nothing."""
@@ -40,13 +43,39 @@ def hash_bucket(word: Column, dimension: int) -> Column:
 
 
 def hash_embedding(text: Column, dimension: int = 64) -> Column:
-    """Counts of a text's lower-cased words by bucket, normalised; a blank text is the zero vector."""
-    # Buckets are counted in one string of marks: what replacing a mark takes off its length. That beats comparing array elements in lambdas.
-    marked = F.array_join(F.transform(words(F.lower(text)), lambda w: F.concat(F.lit(";"), hash_bucket(w, dimension).cast("string"), F.lit(";"))), "")
-    marks = F.array(*(F.lit(f";{d};") for d in range(dimension)))
-    counts = lambda held: F.transform(marks, lambda m: (F.length(held) - F.length(F.replace(held, m, F.lit("")))) / F.length(m))
-    # Each stage is bound once by a one-element transform; else every reference would compute it anew.
-    return F.element_at(F.transform(F.transform(F.array(marked), counts), normalise), 1)
+    """Counts of a text's lower-cased words by bucket, normalised; a blank or null text is the zero vector.
+
+    In Arrow batches: a word's bucket is computed once and remembered, a text is one count over its words' buckets.
+    """
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets = _Buckets(dimension)
+        for texts in batches:
+            vectors = []
+            for value in texts:
+                words = (value or "").lower().split()
+                counts = np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), minlength=dimension).astype(float)
+                size = np.sqrt((counts * counts).sum())
+                vectors.append(counts / size if size else counts)
+            yield pd.Series(vectors, dtype=object)
+
+    return embed(text)
+
+
+class _Buckets(dict):
+    """word -> MD5 modulo dimension, of the last words asked for."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        found = int(hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest(), 16) % self.dimension
+        self[word] = found
+        return found
 
 
 def min_max(value: Column, low: Column, high: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import count as numbers
+from itertools import groupby
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
@@ -73,35 +76,36 @@ def url_path(url: Column) -> Column:
 RULES = ArrayType(StructType().add("agent", "string").add("kind", "string").add("pattern", "string").add("delay", "double"))
 
 
+#: A line of a robots file: a name, a colon, a value; # begins a comment.
+LINE = re.compile(r"([^#:]*):([^#]*)")
+DIRECTIVES = ("user-agent", "allow", "disallow", "crawl-delay")
+
+
+def _delay(value: str) -> float | None:
+    try:
+        return float(value)
+    except ValueError:
+        return None
+
+
 def robots_rules(text: str | None) -> list[dict]:
     """A robots file as rows (agent, kind, pattern, delay); kind is agent, allow, disallow or delay.
 
-    An agent line after rules begins a new group. An empty Disallow is none; an empty Allow fits all paths. The last delay of an agent holds, a bad one is none.
+    Known lines come in runs, of agents and of rules in turn; a run of rules holds for the run of agents before it, and none
+    holds for rules before any agent. An empty Disallow is no rule; an empty Allow fits all paths. The last delay of an agent holds, a bad one is none.
     """
-    rows: list[dict] = []
+    named = [(m[1].strip().lower(), m[2].strip()) for m in map(LINE.match, (text or "").splitlines()) if m]
+    rows: list[tuple] = []
     agents: list[str] = []
-    in_rules = False
-    for line in (text or "").splitlines():
-        name, colon, value = line.split("#", 1)[0].strip().partition(":")
-        name, value = name.strip().lower(), value.strip()
-        if not colon:
+    for is_agent, run in groupby((x for x in named if x[0] in DIRECTIVES), key=lambda x: x[0] == "user-agent"):
+        values = list(run)
+        if is_agent:
+            agents = [agent for _, agent in values]
+            rows += [(agent, "agent", None, None) for agent in agents]
             continue
-        if name == "user-agent":
-            agents = [value] if in_rules or not agents else [*agents, value]
-            in_rules = False
-            rows.append({"agent": value, "kind": "agent", "pattern": None, "delay": None})
-        elif name in ("allow", "disallow", "crawl-delay") and agents:
-            in_rules = True
-            for agent in agents:
-                if name == "crawl-delay":
-                    try:
-                        delay = float(value)
-                    except ValueError:
-                        delay = None
-                    rows.append({"agent": agent, "kind": "delay", "pattern": None, "delay": delay})
-                elif value or name == "allow":
-                    rows.append({"agent": agent, "kind": name, "pattern": value, "delay": None})
-    return rows
+        rules = [("delay", None, _delay(value)) if kind == "crawl-delay" else (kind, value, None) for kind, value in values if value or kind != "disallow"]
+        rows += [(agent, *rule) for rule in rules for agent in agents]
+    return [dict(zip(("agent", "kind", "pattern", "delay"), row, strict=True)) for row in rows]
 
 
 @F.pandas_udf(RULES)
@@ -156,12 +160,12 @@ class Crawl:
     edges: DataFrame
 
 
-def crawl(web: DataFrame, seeds: list[str], robots: DataFrame | None = None, agent: str = "SearchEngineBot", max_pages: int | None = None, most_levels: int = 1_000) -> Crawl:
+def crawl(web: DataFrame, seeds: list[str], robots: DataFrame | None = None, agent: str = "SearchEngineBot", max_pages: int | None = None, most_levels: int | None = None) -> Crawl:
     """Breadth-first over web(url, html) from the seeds; robots(domain, txt) decide what may be fetched.
 
     A level is a join of the frontier with the pages; its order is (place of the parent, place of the link), carried as an array.
     A url is taken once, by its first place. Refused and missing pages don't count toward max_pages, but stay in the
-    link graph as targets. Each robots file is parsed once.
+    link graph as targets. Each robots file is parsed once. Levels go on until nothing new is found; more than most_levels are an error.
     """
     spark = web.sparkSession
     edges = table_cut(link_edges(web), "links")
@@ -172,7 +176,9 @@ def crawl(web: DataFrame, seeds: list[str], robots: DataFrame | None = None, age
     seen = table_cut(frontier.select("url"), "seen")
     fetched = None
     count = 0
-    for level in range(most_levels):
+    for level in numbers():
+        if most_levels is not None and level >= most_levels:
+            raise RuntimeError(f"the crawl has more than {most_levels} levels")
         found = frontier.join(web.select("url", "html"), "url")
         if parsed is not None:
             found = found.join(parsed, domain(F.col("url")) == F.col("_domain"), "left").where(robots_allowed(F.col("rules"), url_path(F.col("url"))))

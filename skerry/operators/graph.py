@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,23 +77,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     return ranks
 
 
-def bfs(edges: DataFrame, start, most_levels: int = 1_000) -> DataFrame:
+def bfs(edges: DataFrame, start, most_levels: int | None = None) -> DataFrame:
     """(id, level, place, path) of what start reaches; the breadth-first order is that of (level, place).
 
     place lists the seq of the edges of path, the first-found way of fewest edges, so siblings come by their parents' order and
     then by seq. A level is one join with the edges, an anti join with what was seen and one aggregation; no task sees a whole level.
-    A start that no edge has gives no rows.
+    A start that no edge has gives no rows. Levels go on until nothing new is found; more than most_levels are an error.
     """
     known = graph_nodes(edges).where(F.col("id") == F.lit(start))
     frontier = table_cut(known.select("id", F.lit(0).alias("level"), F.array().cast("array<long>").alias("place"), F.array("id").alias("path")), "level")
     seen = frontier
     links = edges.select("src", "dst", F.col("seq").cast("long").alias("seq"))
-    for level in range(1, most_levels + 1):
+    for level in count(1):
         step = frontier.join(links, frontier["id"] == links["src"]).select(F.col("dst").alias("id"), F.concat("place", F.array("seq")).alias("place"), F.concat("path", F.array("dst")).alias("path"))
         step = step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("place", "path")).alias("first"))
         frontier = table_cut(step.select("id", F.lit(level).alias("level"), "first.place", "first.path"), "level")
         if frontier.isEmpty():
             break
+        if most_levels is not None and level > most_levels:
+            raise RuntimeError(f"the graph has more than {most_levels} levels")
         seen = table_cut(seen.unionByName(frontier), "seen")
     return seen
 
@@ -109,13 +113,23 @@ def shortest_path(edges: DataFrame, start, target) -> list | None:
     return row["path"] if row else None
 
 
-def dfs(edges: DataFrame, start, key: str | None = None) -> DataFrame:
+#: Edges of a graph that one task can walk.
+WALKABLE = 20_000_000
+
+
+def dfs(edges: DataFrame, start, key: str | None = None, most_edges: int = WALKABLE) -> DataFrame:
     """(id, visit): depth-first preorder from start, neighbours in edge order.
 
-    The order is sequential by nature, so each graph (one, or one for each value of key) is walked in one task and must fit there.
+    The order is sequential by nature, so each graph (one, or one for each value of key) is walked in one task and must fit there:
+    one of more than most_edges is an error. Only the two ends and the order of edges go to it.
     """
     import pandas as pd
 
+    edges = edges.select(*([key] if key else []), "src", "dst", "seq")
+    largest = (edges.groupBy(key) if key else edges.groupBy()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if largest is not None and largest > most_edges:
+        raise ValueError(f"a graph of {largest} edges is more than one task can walk ({most_edges})")
+
     kind = edges.schema["src"].dataType.simpleString()
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:

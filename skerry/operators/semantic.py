@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, words
 from ..functions.vectors import cosine, hash_embedding, min_max
+from ..sources.cut import table_cut
 from .index import Index
-from .rank import bm25_scores, by_score, check_top_k
+from .rank import DECIMALS, bm25_scores, by_score, check_top_k
 
 # The default synonyms.
 SYNONYMS = {
@@ -77,13 +81,62 @@ def nearest(vectors: DataFrame, query: list[float], top_k: int = 10) -> DataFram
     return scored.orderBy(by_score(), F.desc("doc_id")).limit(top_k)
 
 
-def nearest_per_query(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, rank) for a stated set of queries (query_id, embedding), broadcast in one block."""
+#: Queries that go to all tasks at a time, and vectors that a task compares with them at a time.
+BLOCK, CHUNK = 1024, 2048
+
+
+def _matrix(lists: pa.Array, dimension: int | None = None) -> np.ndarray:
+    """Unit rows, filled up with zeros; a vector that is null, of size 0, or has a null or non-finite part is all zeros."""
+    lists = lists.cast(pa.list_(pa.float64()))
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)  # a null part is NaN
+    out = np.zeros((len(lengths), max(dimension or 0, int(lengths.max(initial=0)))))
+    out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    with np.errstate(invalid="ignore", over="ignore"):
+        sizes = np.sqrt((out * out).sum(1))
+        out = out / np.where(sizes > 0, sizes, 1)[:, None]
+    out[~np.isfinite(out).all(1)] = 0
+    return out
+
+
+def _nearest_to(asked: pa.Table, top_k: int):
+    ids, queries = asked.column("query_id").combine_chunks(), _matrix(asked.column("embedding").combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_ids, held = np.zeros((len(queries), 0), np.int64), np.zeros((len(queries), 0))
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
+                vectors = _matrix(part.column("embedding"), queries.shape[1])
+                scores = np.pad(queries, ((0, 0), (0, vectors.shape[1] - queries.shape[1]))) @ vectors.T
+                doc_ids = np.broadcast_to(part.column("doc_id").to_numpy(), scores.shape)
+                held, held_ids = np.hstack([held, scores]), np.hstack([held_ids, doc_ids])
+                best = np.lexsort((-held_ids, -np.round(held, DECIMALS)))[:, :top_k]
+                held, held_ids = np.take_along_axis(held, best, 1), np.take_along_axis(held_ids, best, 1)
+        rows = np.repeat(np.arange(len(queries)), held.shape[1])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(held_ids.ravel()), pa.array(held.ravel())], ["query_id", "doc_id", "score"])
+
+    return run
+
+
+def nearest_per_query(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int = BLOCK) -> DataFrame:
+    """(query_id, doc_id, score, rank): for each of the queries (query_id, embedding) the top_k by cosine, ties by the greater doc_id.
+
+    Queries go out in blocks of about `block`; for each the vectors are read once, a task keeps top_k for each query of the block, and
+    these few meet in one shuffle. A vector without a direction (null, zero, or with a null or non-finite part) has score 0 with all.
+    """
     check_top_k(top_k)
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("_q")))
-    scored = vectors.crossJoin(asked).select("query_id", "doc_id", cosine(F.col("embedding"), F.col("_q")).alias("score"))
+    asked = table_cut(queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")), "queries")
+    rows = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("doc_id IS NOT NULL")
+    kind = asked.schema["query_id"].dataType.simpleString()
+    blocks = max(1, -(-asked.count() // block))
     best = Window.partitionBy("query_id").orderBy(by_score(), F.desc("doc_id"))
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    found = []
+    for k in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow()
+        local = rows.mapInArrow(_nearest_to(own, top_k), f"query_id {kind}, doc_id long, score double")
+        found.append(local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k))
+    return reduce(DataFrame.union, found)
 
 
 def hybrid_scores(candidates: DataFrame, alpha: float = 0.5) -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir, which all executors share. Where that is unset, one of our own in a local session, an error on a cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", f"skerry-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

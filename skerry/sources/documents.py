@@ -202,11 +202,13 @@ def documents_from_pages(pages: DataFrame) -> DataFrame:
 
 
 def load_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """(key, embedding) of a JSON file that maps keys to vectors; an empty one is an error, as are vectors of another length than the first's."""
+    """(key, embedding) of a JSON file that maps keys to vectors; an empty one is an error, as are vectors of different lengths."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<double>>")).alias("key", "embedding"))
     sizes = rows.agg(F.min(F.size("embedding")).alias("a"), F.max(F.size("embedding")).alias("b")).first()
     if not sizes["b"]:
         raise ValueError(f"no embeddings in {path}")
+    if sizes["a"] != sizes["b"]:
+        raise ValueError(f"vectors of {sizes['a']} and of {sizes['b']} parts in {path}")
     return rows
 
 

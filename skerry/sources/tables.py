@@ -20,9 +20,13 @@ def index_exists(spark: SparkSession, path: str) -> bool:
 
 
 def save_index(index: Index, path: str) -> None:
-    """Write all tables, replacing what is there; postings in order of term, so that a term's lookup reads few row groups."""
+    """Write all tables, replacing what is there.
+
+    Postings are dealt by term, in one pass (dealing by ranges would invert all documents twice), and sorted within files, so that a
+    term's lookup reads few row groups; partitions that a frequent term makes too large are split at run time.
+    """
     spark = index.postings.sparkSession
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.postings.hint("rebalance", "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
     index.documents.write.mode("overwrite").parquet(f"{path}/documents")
     files, at = hadoop_path(spark, f"{path}/{META}")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from bisect import bisect_left, insort
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,25 +12,31 @@ from pyspark.sql import functions as F
 
 
 class SlidingLog:
-    """The times of a client's accepted requests; one exactly a window old still counts, and refused ones leave no trace."""
+    """The times of a client's accepted requests, ascending; one exactly a window old still counts, and refused ones leave no trace.
+
+    No more than `limit` of them can count at a time, so only the latest ones are kept.
+    """
 
     def __init__(self, limit: int, window: float, held: list[float] = ()):
-        self.limit, self.window, self.held = limit, window, deque(held)
+        self.limit, self.window, self.accepted = limit, window, sorted(held)
+
+    def count(self, now: float) -> int:
+        """How many accepted requests are in the window that ends now."""
+        return len(self.accepted) - bisect_left(self.accepted, now - self.window)
 
     def allow(self, now: float) -> bool:
-        while self.held and self.held[0] < now - self.window:
-            self.held.popleft()
-        if len(self.held) >= self.limit:
-            return False
-        self.held.append(now)
-        return True
+        free = self.count(now) < self.limit
+        if free:
+            insort(self.accepted, now)
+            self.accepted = self.accepted[-self.limit :]
+        return free
 
 
 def rate_limited(requests: DataFrame, limit: int = 10, window: float = 60.0, client: str = "client") -> DataFrame:
     """requests(client, ts seconds as double, seq) with allowed and held (requests that count after it), client by client in order of (ts, seq).
 
-    Whether a request counts depends on the decisions before it, so it is a fold over each client's requests; the rows of a client
-    come sorted to one task as a stream of Arrow batches, of which only the accepted times in the window are kept.
+    Whether a request counts depends on the decisions before it, so it is a fold over each client's requests, and a client is one
+    task however many it makes: its rows come sorted as a stream of Arrow batches, of which `limit` accepted times are kept.
     """
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema.fields)
 
@@ -41,7 +48,7 @@ def rate_limited(requests: DataFrame, limit: int = 10, window: float = 60.0, cli
                 if log is None or who != current:
                     current, log = who, SlidingLog(limit, window)
                 allowed.append(log.allow(now))
-                held.append(len(log.held))
+                held.append(log.count(now))
             yield rows.assign(allowed=allowed, held=held)
 
     ordered = requests.repartition(client).sortWithinPartitions(client, "ts", "seq")
@@ -66,7 +73,7 @@ def rate_limited_stream(requests: DataFrame, limit: int = 10, window: float = 60
             log = SlidingLog(limit, window, [t[0] for t in self.times.get()])
             every = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
             every["allowed"] = [log.allow(t) for t in every["ts"]]
-            self.times.put([(float(t),) for t in log.held])
+            self.times.put([(float(t),) for t in log.accepted])
             yield every[[client, "ts", "seq", "allowed"]]
 
         def close(self) -> None:
