@@ -18,8 +18,6 @@ from ..sources.documents import load_folder
 from ..sources.tables import load_index, save_index
 from ..streaming.limiter import SlidingLog
 
-log = logging.getLogger("skerry")
-
 #: Requests a client may make in a minute.
 SEARCHES_A_MINUTE, SUGGESTIONS_A_MINUTE = 30, 60
 
@@ -112,11 +110,9 @@ class SearchEngine:
         self._admit("search", client, SEARCHES_A_MINUTE, now)
         if not q or not 1 <= top_k <= 100:
             raise ValueError("q must not be empty, top_k must be 1 to 100")
-        began = time.perf_counter()
         hits = [r.asDict() for r in self.search_ranked(q, source_type, top_k).collect()]
         if self.history is not None:
             self.history.record(key or "anonymous", q, len(hits))
-        log.info("GET /search -> 200 (%.1f ms)", 1000 * (time.perf_counter() - began))
         return {"query": q, "count": len(hits), "results": hits}
 
     def get_suggest(self, prefix: str, limit: int = 10, client: str = "local", now: float | None = None) -> dict:
@@ -135,14 +131,19 @@ class SearchEngine:
     def get_health(self) -> dict:
         return {"status": "ok"}
 
+    def _history(self) -> DataFrame:
+        if self.history is None:
+            raise ValueError("no query log is kept")
+        return self.history.table()
+
     def get_history(self, key: str | None, limit: int = 50) -> dict:
-        table = self.history.table()
         check_key(key)
+        table = self._history()
         return {"api_key": key, "total_queries": analytics.total_queries(table, key).first()["total"], "recent": [r.asDict() for r in analytics.history(table, key, limit).collect()]}
 
     def get_analytics(self, key: str | None) -> dict:
         check_key(key)
-        table = self.history.table()
+        table = self._history()
         return {
             "total_queries": analytics.total_queries(table).first()["total"],
             "top_queries": [r.asDict() for r in analytics.top_queries(table).collect()],
