@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def heap_order(values: DataFrame, column: str = "value", largest: bool = False, limit: int | None = None) -> DataFrame:
     """The values as a heap gives them out; with a limit each task keeps that many only."""
@@ -25,6 +27,11 @@ def priority_order(items: DataFrame, largest: bool = False) -> DataFrame:
     return items.orderBy(F.desc("priority") if largest else F.asc("priority"), F.asc("seq"))
 
 
+def priority_places(items: DataFrame, largest: bool = False) -> DataFrame:
+    """items with `place`: 1, 2, ... in the order in which the queue gives them out, numbered by ranges without one sorting task."""
+    return numbered(items, [F.desc("priority") if largest else F.asc("priority"), F.asc("seq")], "place")
+
+
 def put_keys(table: DataFrame, more: DataFrame) -> DataFrame:
     """table(key, value) with more's keys set; of a key given twice the last (by seq, if there) holds."""
     last = more.groupBy("key").agg(F.max_by("value", "seq").alias("value")) if "seq" in more.columns else more.select("key", "value")

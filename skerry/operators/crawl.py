@@ -154,7 +154,7 @@ def crawl_schedule(fetches: DataFrame, default_delay: float = 1.0) -> DataFrame:
 
 @dataclass(frozen=True)
 class Crawl:
-    """pages(url, html, title, crawl_order), edges(src, dst, seq)."""
+    """pages(url, html, title, level, crawl_order), edges(src, dst, seq)."""
 
     pages: DataFrame
     edges: DataFrame
@@ -196,7 +196,7 @@ def crawl(web: DataFrame, seeds: list[str], robots: DataFrame | None = None, age
         seen = table_cut(seen.union(frontier.select("url")), "seen")
     pages = numbered(fetched.withColumn("title", extract_title("html")), ["level", "place"], "crawl_order")
     crawled = edges.join(fetched.select(F.col("url").alias("src")), "src", "left_semi")
-    return Crawl(pages.select("url", "html", "title", "crawl_order"), crawled.select("src", "dst", "seq"))
+    return Crawl(pages.select("url", "html", "title", "level", "crawl_order"), crawled.select("src", "dst", "seq"))
 
 
 def frontier(urls: DataFrame) -> DataFrame:

@@ -9,15 +9,15 @@ from ..sources.cut import table_cut
 
 
 def numbered(df: DataFrame, order: list, name: str, first: int = 1) -> DataFrame:
-    """df with `name`: 1, 2, ... in the order of the given columns.
+    """df with `name`: 1, 2, ... in the order of the given columns or sort expressions.
 
     Rows are dealt by ranges of the order and sorted within partitions; how many rows each partition has, one number a
     partition, is all that the driver gathers, and each row's number is its place plus its partition's offset.
     """
-    keys = {f"_order{i}": c if not isinstance(c, str) else F.col(c) for i, c in enumerate(order)}
-    rows = df.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     rows = rows.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    rows = table_cut(rows.drop(*keys), "numbered")
+    rows = table_cut(rows, "numbered")
     counts = sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect())
     offsets, total = [], first
     for part, n in counts:

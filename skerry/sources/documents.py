@@ -158,9 +158,13 @@ def load_folder(spark: SparkSession, folder: str, skip_empty: bool = True) -> Da
     at = jvm.org.apache.hadoop.fs.Path(folder)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         raise FileNotFoundError(folder)
+    return documents_from_files(with_source_type(_files(spark, folder).select("path", "content")), skip_empty)
+
+
+def with_source_type(files: DataFrame) -> DataFrame:
+    """files(path, ...) with the source type that their suffix, whatever its case, names; those of unknown suffixes are left out."""
     types = F.create_map(*(F.lit(x) for pair in SOURCE_TYPES.items() for x in pair))
-    files = _files(spark, folder).select("path", "content").withColumn("source_type", types[file_suffix(F.col("path"))]).where(F.col("source_type").isNotNull())
-    return documents_from_files(files, skip_empty)
+    return files.withColumn("source_type", types[file_suffix(F.col("path"))]).where(F.col("source_type").isNotNull())
 
 
 def documents_from_files(files: DataFrame, skip_empty: bool = True) -> DataFrame:
@@ -215,7 +219,8 @@ def load_embeddings(spark: SparkSession, path: str) -> DataFrame:
 def synthetic_corpus(spark: SparkSession, documents: int, length: int = 100, vocabulary: int = 500, seed: int = 42) -> DataFrame:
     """(doc_id, tokens) of words word0.. chosen by a seeded hash; the same on any cluster."""
     place = F.sequence(F.lit(0), F.lit(length - 1))
-    pick = lambda i: F.concat(F.lit("word"), F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(vocabulary)).cast("string"))
+    digest = lambda i: F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col("id").cast("string"), i.cast("string")))
+    pick = lambda i: F.concat(F.lit("word"), F.pmod(F.conv(F.substring(digest(i), 1, 8), 16, 10).cast("long"), F.lit(vocabulary)).cast("string"))
     return spark.range(documents).select(F.col("id").alias("doc_id"), F.transform(place, pick).alias("tokens"))
 
 
