@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.porter import porter_stem, stem
-from ..functions.text import remove_stopwords, tokenize
+from ..functions.text import STOPWORDS, TOKEN, remove_stopwords, tokenize
 from ..sources.cut import table_cut
 
 Analyzer = Callable[[Column], Column]
@@ -26,39 +28,64 @@ def analyze_plain(text: Column) -> Column:
     return remove_stopwords(tokenize(text))
 
 
-def _stem_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[str, str] = {}
-    for batch in batches:
-        terms = batch.column("terms").combine_chunks() if isinstance(batch.column("terms"), pa.ChunkedArray) else batch.column("terms")
-        flat = terms.flatten().dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        if len(memo) > 500_000:
-            memo.clear()
-        for w in distinct:
-            if w not in memo:
-                memo[w] = stem(w)
-        stems = pa.array([memo[w] for w in distinct], pa.string()).take(flat.indices)
-        lengths = terms.value_lengths().fill_null(0)
-        offsets = pa.array([0, *_running(lengths)], pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, stems)], ["doc_id", "terms"])
+class _Terms(dict):
+    """token as it stands -> number of its index term, -1 for a stopword; terms lists the terms by number."""
 
+    #: Tokens remembered; beyond it all are forgotten, so that a stream of ever new ones stays small.
+    MOST = 300_000
 
-def _running(lengths: pa.Array) -> list[int]:
-    import numpy as np
+    def __init__(self):
+        super().__init__()
+        self.terms: list[str] = []
+        self.numbers: dict[str, int] = {}
+        self.stop = frozenset(STOPWORDS)
 
-    return np.cumsum(lengths.to_numpy(zero_copy_only=False)).astype("int64").tolist()
+    def __missing__(self, token: str) -> int:
+        word = token.lower()
+        if word in self.stop:
+            number = -1
+        else:
+            term = stem(word)
+            if (number := self.numbers.get(term, -1)) < 0:
+                number = self.numbers[term] = len(self.terms)
+                self.terms.append(term)
+        self[token] = number
+        return number
+
+    def forget(self) -> None:
+        self.clear()
+        self.numbers.clear()
+        self.terms = []
+
+
+def _analyze_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    find = re.compile(TOKEN).findall
+    known = _Terms()
+    for batch in batches:
+        if len(known) > _Terms.MOST:
+            known.forget()
+        lengths, parts = [], []
+        for text in batch.column("text").to_pylist():
+            tokens = find(text or "")
+            numbers = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+            parts.append(numbers[numbers >= 0])
+            lengths.append(len(parts[-1]))
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        terms = pa.array(known.terms, pa.string()).take(pa.array(flat))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, terms)], ["doc_id", "terms"])
 
 
 def analyzed(documents: DataFrame, text: str = "raw_text", analyzer: Analyzer | None = None) -> DataFrame:
     """(doc_id, terms) of every document.
 
-    By default tokens and stopwords are JVM expressions and the stems come from Arrow batches with a memo of words, since
-    stemming every occurrence, or joining every occurrence with a stem table, costs more than the memo. An analyzer replaces all of it.
+    By default in Arrow batches: a token's fate (stopword, or the number of its stem) is looked up in a memo, and a document is one
+    array of numbers; tokens as JVM arrays, filtered and stemmed by lambdas, cost several times as much. An analyzer replaces all of it.
     """
     if analyzer is not None:
         return documents.select("doc_id", analyzer(F.col(text)).alias("terms"))
-    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), analyze_plain(F.col(text)).alias("terms"))
-    return plain.mapInArrow(_stem_arrays, "doc_id long, terms array<string>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(_analyze_arrays, "doc_id long, terms array<string>")
 
 
 @dataclass(frozen=True)
@@ -132,8 +159,6 @@ def grouped_postings_of(terms: DataFrame) -> DataFrame:
 
 
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-
     for batch in batches:
         terms = batch.column("terms")
         flat = terms.flatten().dictionary_encode()

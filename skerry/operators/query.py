@@ -95,8 +95,8 @@ def folded(operands: list[tuple[str, Column]]) -> Column:
     return result
 
 
-def matches(index: Index, operands: list[tuple[str, Operand]], scored: tuple[Column, list[str]] | None = None, postings: DataFrame | None = None) -> DataFrame:
-    """(doc_id, and score if asked for) of the documents that the operands select.
+def matches(index: Index, operands: list[tuple[str, Operand]], scored: tuple[Column, list[str]] | None = None, postings: DataFrame | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, and score if asked for, and more aggregates by name) of the documents that the operands select.
 
     A match has at least one operand's term, so postings of other terms are never read: the filter on term reaches the scan,
     and one aggregation by doc_id tells every operand's truth. scored: an expression to sum, and the terms it needs.
@@ -104,11 +104,12 @@ def matches(index: Index, operands: list[tuple[str, Operand]], scored: tuple[Col
     parts = [_flag(o, f"m{i}") for i, (_, o) in enumerate(operands)]
     wanted = {t for _, o in operands for t in o.terms} | set(scored[1] if scored else ())
     rows = (index.postings if postings is None else postings).where(F.col("term").isin(sorted(wanted)))
-    aggregates = [a for columns, _ in parts for a in columns] + ([F.sum(scored[0]).alias("score")] if scored else [])
+    aggregates = [a for columns, _ in parts for a in columns] + ([F.sum(scored[0]).alias("score")] if scored else []) + [c.alias(n) for n, c in (more or {}).items()]
+    kept = ["doc_id", *(["score"] if scored else []), *(more or {})]
     if not operands or not any(o.terms for _, o in operands):
-        return rows.where(F.lit(False)).groupBy("doc_id").agg(*(aggregates or [F.count("*").alias("n")])).select("doc_id", *(["score"] if scored else []))
+        return rows.where(F.lit(False)).groupBy("doc_id").agg(*(aggregates or [F.count("*").alias("n")])).select(*kept)
     chosen = rows.groupBy("doc_id").agg(*aggregates).where(F.coalesce(folded([(op, F.coalesce(c, F.lit(False))) for (op, _), (_, c) in zip(operands, parts, strict=True)]), F.lit(False)))
-    return chosen.select("doc_id", *(["score"] if scored else []))
+    return chosen.select(*kept)
 
 
 def search_ids(index: Index, query: str, stemmed: bool = True) -> DataFrame:

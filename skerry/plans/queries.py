@@ -360,7 +360,7 @@ def hybrid_topk(spark, sf):
     built, terms = index(spark, sf), Q.terms_of(WORDS)
     asked = spark.range(1).select(hash_embedding(F.lit(WORDS), 64).alias("v")).first()["v"]
     candidates = table_cut(Q.search_or(built, ["tion", "ering", "thnd"]), "candidates")
-    return semantic.hybrid_search(built, semantic.embed(built.documents), terms, asked, candidates, 10, 0.7).select("doc_id", F.round("score", 6).alias("score"))
+    return semantic.hybrid_search(built, semantic.embed(built.documents.join(candidates, "doc_id", "left_semi")), terms, asked, candidates, 10, 0.7).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT p_partkey, round(CASE WHEN hi = lo THEN 0.5 ELSE (p_retailprice - lo) / (hi - lo) END, 6) AS scaled FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)")

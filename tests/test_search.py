@@ -138,6 +138,36 @@ def test_batch_equals_single(spark, built):
     assert 3 not in found
 
 
+def test_documents_are_scored_whole_whatever_the_batches(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from skerry.operators import rank
+
+    r = random.Random(2)
+    rows = sorted({(r.randrange(60), f"t{r.randrange(12)}"): r.random() for _ in range(400)}.items())
+    asked = [(q, f"t{r.randrange(12)}", r.randint(1, 3)) for q in range(9) for _ in range(3)]
+    asked = list({(q, t): (q, t, n) for q, t, n in asked}.values())
+    table = pa.table({"query_id": [x[0] for x in asked], "term": [x[1] for x in asked], "qtf": [x[2] for x in asked]})
+    rows = [(d, t, p) for (d, t), p in rows if t in {x[1] for x in asked}]
+    postings = pa.table({"term": [t for _, t, _ in rows], "doc_id": pa.array([d for d, _, _ in rows], pa.int64()), "part": [p for *_, p in rows]})
+    wanted = {}
+    for q in range(9):
+        scores = {}
+        for d, t, p in rows:
+            for n in [n for k, u, n in asked if k == q and u == t]:
+                scores[d] = scores.get(d, 0.0) + n * p
+        wanted[q] = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:5]
+    for chunk, size in ((1, 1), (3, 7), (100, 1000), (7, 13)):
+        monkeypatch.setattr(rank, "CHUNK", chunk)
+        (out,) = rank._score_block(table, 5)(iter(postings.to_batches(max_chunksize=size)))
+        for q in range(9):
+            got = sorted([(x["doc_id"], x["score"]) for x in out.to_pylist() if x["query_id"] == q], key=lambda x: (-round(x[1], 9), x[0]))
+            assert [d for d, _ in got] == [d for d, _ in wanted[q]]
+            assert [v for _, v in got] == pytest.approx([v for _, v in wanted[q]])
+
+
 def test_metrics(spark):
     grades = [3, 2, 3, 0, 1, 2]
     ranked = spark.createDataFrame([("q", i, i) for i in range(1, 7)], "query string, doc_id long, rank int")
