@@ -63,9 +63,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+#: A table that is known to have no more rows than this is written as so many files, however many tasks made it.
+FEW_ROWS, FEW_FILES = 300_000, 12
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    rows: a bound of its rows, where one is known. Few rows go to few files, since a file for each of many shuffle partitions
+    costs more than the rows do, to write and to read.
+    """
     spark = df.sparkSession
+    if rows is not None and rows <= FEW_ROWS:
+        df = df.repartition(FEW_FILES)
     path = f"{shared_dir(spark)}/skerry/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)

@@ -44,36 +44,38 @@ def _spanning_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield flush()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the least node that it is joined to.
 
     Each round every node points to its least neighbour, pointers are followed four steps, and edges between what they
     point to make the next, smaller graph; edges within a task are contracted before. The number of rounds grows with the
     logarithm of the longest chain. Links and labels stay in tables of the shared folder; the driver sees only whether
-    any edge is left. Edges with a null end or equal ends are dropped; an empty table gives an empty one.
+    how many edges are left. Edges with a null end or equal ends are dropped; an empty table gives an empty one. rows: a bound of their
+    number, where one is known.
     """
     kind = edges.schema["a"].dataType.simpleString()
 
-    def contracted(graph: DataFrame) -> DataFrame:
+    def contracted(graph: DataFrame, rows: int | None) -> DataFrame:
         stars = graph.select("a", "b").mapInArrow(_spanning_stars, f"a {kind}, b {kind}")
-        return materialise(stars.where("a <> b").distinct(), "edges")
+        return materialise(stars.where("a <> b").distinct(), "edges", rows)
 
-    graph = contracted(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b"))
-    labels = None
-    while not graph.isEmpty():
+    graph = contracted(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b"), rows)
+    labels, nodes = None, None
+    while left := graph.count():
+        nodes = nodes or 2 * left
         both = graph.union(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
         points = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to"))
-        points = materialise(points, "pointers")
+        points = materialise(points, "pointers", 2 * left)
         for _ in range(2):
             further = points.select(F.col("node").alias("to"), F.col("to").alias("further"))
             points = points.join(further, "to").select("node", F.col("further").alias("to"))
-        points = materialise(points, "pointers")
+        points = materialise(points, "pointers", 2 * left)
         start, end = (points.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
-        graph = contracted(graph.join(start, "a").join(end, "b").where("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")))
+        graph = contracted(graph.join(start, "a").join(end, "b").where("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")), left)
         if labels is None:
             labels = points.select("node", F.col("to").alias("component"))
         else:
             moved = points.select(F.col("node").alias("component"), "to")
             labels = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = materialise(labels, "labels")
+        labels = materialise(labels, "labels", nodes)
     return labels if labels is not None else edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, sized, slices, small_batches, text_key, utf8
+from .common import fresh, materialise, mix64, sized, slices, small_batches, text_key, utf8
 from .components import connected_components
 from .words import shingles
 
@@ -238,9 +240,9 @@ def _prefix_rows(size: int, percent: int, frequent: np.ndarray, times: np.ndarra
     return run
 
 
-def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text: a text of each wanted node."""
-    wanted = materialise(wanted.join(nodes, "node").select("node", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2")), "wanted")
+def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, rows_wanted: int | None = None) -> DataFrame:
+    """node, text: a text of each wanted node; rows_wanted bounds their number, where a bound is known."""
+    wanted = materialise(wanted.join(nodes, "node").select("node", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2")), "wanted", rows_wanted)
     texts = rows.select("k1", "k2", "text").join(sized(wanted, 100), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
     return materialise(texts, "texts")
 
@@ -255,7 +257,7 @@ def _exact_pairs(texts: DataFrame, labels: DataFrame, size: int, percent: int) -
     places = materialise(texts.mapInArrow(_prefix_rows(size, percent, frequent[order], often["times"].to_numpy(np.int64)[order]), "shingle long, node binary, n int, left int"), "prefixes")
     of = texts.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     sizes = of.groupBy("component").agg(F.count("*").alias("members"))
-    of = materialise(of.join(sizes, "component").select("node", F.xxhash64("component").alias("of"), "members"), "components")
+    of = materialise(of.join(sizes, "component").select("node", F.xxhash64("component").alias("of"), "members"), "components", texts.count())
     places = places.join(sized(of, 80), "node")
     # Within a component nothing is left to find; of each shingle's rows only those outside its largest component meet all others.
     shared = places.groupBy("shingle").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.max(F.struct("members", "of"))["of"].alias("main"), F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
@@ -269,15 +271,16 @@ def _exact_pairs(texts: DataFrame, labels: DataFrame, size: int, percent: int) -
     return materialise(light.join(every, ["shingle", "part"]).where(fits).groupBy("a", "b").agg(F.max(common).alias("best")), "exact")
 
 
-def _confirmed(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked: sifted by their signatures, then decided on the full sets of a text of each."""
+def _confirmed(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, sketch: DataFrame, size: int, percent: int, most: int | None = None) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked: sifted by their signatures, then decided on the full sets of a text of each. most bounds the pairs, where a bound is known."""
     for side in "ab":
         pairs = pairs.join(sketch.withColumnsRenamed({"node": side, "sketch": f"sketch_{side}"}), side)
-    likely = materialise(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(percent), "a binary, b binary"), "likely")
-    texts = _texts(rows, nodes, likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct())
+    likely = materialise(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(percent), "a binary, b binary"), "likely", most)
+    most = likely.count()
+    texts = _texts(rows, nodes, likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct(), 2 * most)
     for side in "ab":
         likely = likely.join(texts.withColumnsRenamed({"node": side, "text": f"text_{side}"}), side)
-    return materialise(likely.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a binary, b binary"), "links")
+    return materialise(likely.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a binary, b binary"), "links", most)
 
 
 def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
@@ -296,22 +299,22 @@ def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
     pairs = proposed.where("a IS NOT NULL").select("a", "b").union(seams).distinct()
     sketch = nodes.select("node", "signature").mapInArrow(_first_bytes, "node binary, sketch binary")
     links = _confirmed(rows, nodes, pairs, sketch, size, percent)
-    labels = connected_components(links)
+    labels = connected_components(links, links.count())
     # What crowded regions hide from the forest: a join that misses no link of the nodes in them.
     crowded = proposed.where("crowded IS NOT NULL").groupBy("node").agg(F.sum("crowded").alias("crowded")).where(F.col("crowded") > TREES - SAFE_TREES).select("node")
     crowded = materialise(crowded, "crowded")
     if not crowded.isEmpty():
-        untried, most = _exact_pairs(_texts(rows, nodes, crowded), labels, size, percent), FIRST_ROUND
-        while not untried.isEmpty():
-            ranked = materialise(untried.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("best"), "b"))), "ranked")
-            new = _confirmed(rows, nodes, ranked.where(F.col("rank") <= most).select("a", "b"), sketch, size, percent)
-            if not new.isEmpty():
-                labels = connected_components(new.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+        untried, most = _exact_pairs(_texts(rows, nodes, crowded, crowded.count()), labels, size, percent), FIRST_ROUND
+        while left := untried.count():
+            ranked = materialise(untried.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("best"), "b"))), "ranked", left)
+            new = _confirmed(rows, nodes, ranked.where(F.col("rank") <= most).select("a", "b"), sketch, size, percent, left)
+            if found := new.count():
+                labels = connected_components(new.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))), found + labels.count())
             untried = ranked.where(F.col("rank") > most).drop("rank")
             for side in "ab":
                 untried = untried.join(labels.withColumnsRenamed({"node": side, "component": f"of_{side}"}), side, "left")
             apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-            untried, most = materialise(untried.where(apart).select("a", "b", "best"), "untried"), 4 * most
+            untried, most = materialise(untried.where(apart).select("a", "b", "best"), "untried", left), 4 * most
     joined = nodes.select("node", "doc_id").join(labels, "node")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = joined.join(least, "component").select("node", "component_id")
@@ -345,18 +348,18 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80)
     Rows repeated with the same doc_id and text stay once; rows without a doc_id stay unless a row with one is in their component.
     """
     found = _linked(documents, size, percent)
-    key = ["_skerry_id", "_skerry_k1", "_skerry_k2"]
+    key = fresh(documents.columns, "id", "k1", "k2")
     names = dict(zip(["doc_id", "k1", "k2"], key, strict=True))
-    fates = materialise(found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())).groupBy("doc_id", "k1", "k2").agg(F.min("kept").alias("kept"), F.count("*").alias("copies")).where("NOT kept OR copies > 1").withColumnsRenamed(names), "fates")
-    k1, k2 = text_key("text")
-    rows = documents.withColumns({"_skerry_id": F.col("doc_id").cast("long"), "_skerry_k1": k1, "_skerry_k2": k2})
+    fates = found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())).groupBy("doc_id", "k1", "k2").agg(F.min("kept").alias("kept"), F.count("*").alias("copies"))
+    fates = materialise(fates.where("NOT kept OR copies > 1").select(*(F.col(c).alias(n) for c, n in names.items()), "kept"), "fates")
+    rows = documents.withColumns(dict(zip(key, (F.col("doc_id").cast("long"), *text_key("text")), strict=True)))
 
     def same(other: DataFrame):
-        return rows["_skerry_id"].eqNullSafe(other["_skerry_id"]) & (rows["_skerry_k1"] == other["_skerry_k1"]) & (rows["_skerry_k2"] == other["_skerry_k2"])
+        return reduce(and_, (rows[c].eqNullSafe(other[c]) for c in key))
 
-    changed = sized(fates, 48)
+    changed = sized(fates.select(*key), 48)
     out = rows.join(changed, same(changed), "left_anti")
-    twins = fates.where("kept")
+    twins = fates.where("kept").select(*key)
     if not twins.isEmpty():
         twins = sized(twins, 48)
         out = out.union(rows.join(twins, same(twins), "left_semi").dropDuplicates(key))

@@ -263,6 +263,22 @@ def test_near_duplicates_of_small_groups_under_boilerplate(spark):
     assert [found[i]["component_id"] for i in range(len(texts))] == [i - i % 2 if i < 300 else i for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_in_a_crowd_of_near_copies(spark, percent):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3_000)]
+    base = [r.choice(vocabulary) for _ in range(150)]
+    texts = []
+    for _ in range(1_500):
+        words = list(base)
+        for _ in range(r.randint(1, 4)):
+            words[r.randrange(150)] = r.choice(vocabulary)
+        texts.append(" ".join(words))
+    texts += [" ".join(r.choice(vocabulary) for _ in range(150)) for _ in range(300)]
+    found = collected(near.near_duplicates(frame(spark, list(enumerate(texts))).repartition(4), 5, percent))
+    assert [found[i]["component_id"] for i in range(len(texts))] == [c for _, c in brute_components(texts, percent)]
+
+
 def test_near_duplicates_edges(spark):
     assert near.near_duplicates(frame(spark, []).limit(0)).count() == 0
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, None), (None, "only once")]
