@@ -19,8 +19,10 @@ UNUSUAL = "[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]"
 #: The vocabulary's word pattern, for lower-cased texts without unusual characters.
 PLAIN_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+"
 
-#: The distinct words whose ids a worker keeps; at that number it forgets them and begins anew.
-KEPT_WORDS = 500_000
+#: The bytes, about, of the distinct words whose ids a worker keeps; beyond them it forgets all and begins anew.
+KEPT_BYTES = 96 << 20
+#: What a kept word takes besides its characters and its ids.
+ENTRY_BYTES = 170
 
 
 class PairIndex:
@@ -107,6 +109,7 @@ class Codec:
         self.unusual, self.plain_words = re.compile(UNUSUAL).search, re.compile(PLAIN_WORDS).findall
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
 
     @staticmethod
     def _shown_bytes() -> list[str]:
@@ -128,11 +131,13 @@ class Codec:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words that are not kept yet, all in one index."""
-        if len(self.kept) > KEPT_WORDS:
+        if self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
+            self.kept_bytes = 0
         new = [w for w in words if w not in self.kept]
         for word, ids in zip(new, self.index.encode(map(self.symbols, new)), strict=True):
-            self.kept[word] = np.array(ids, "<u4").tobytes()
+            self.kept[word] = found = np.array(ids, "<u4").tobytes()
+            self.kept_bytes += ENTRY_BYTES + len(word) + len(found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -189,7 +194,8 @@ def encode_decode(documents: DataFrame, tokenizer: str = "word_bpe_49k.json") ->
     Takes doc_id and text; other columns are not read. Each row stands alone, so there is no shuffle: a task cuts its
     rows into slices of some megabytes, builds the pair occurrence index over the distinct words of a slice that it
     doesn't know yet, and joins the ids of the words. A null or empty text has no ids and decodes to the empty text.
-    Strings of special tokens in a text are those tokens, as in the library. Repeated rows give repeated rows.
+    Strings of special tokens in a text are those tokens, as in the library. Repeated rows give repeated rows; an empty table gives
+    an empty one. A text is encoded whole, however long; the ids of words that a worker keeps take KEPT_BYTES and a slice at most.
     """
     return _input(documents).mapInArrow(_run(tokenizer, False), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
