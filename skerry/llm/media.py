@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized, slices, small_batches, text_key, utf8
+from .common import fits, materialise, sized, slices, small_batches, text_key, utf8
 
 #: Payloads are filled up with spaces to a positive multiple of so many bytes.
 FRAME = 192
 #: Sizes of chunks: least, most, and the bits of the rolling hash that are zero at a cut.
 LEAST, MOST, CUT_BITS = 256, 4096, 10
 RATE = 8000
+#: Keys that are joined by broadcast, since they stand OFTEN or more: so many at most, and so many where their bytes are a chunk's.
+FREQUENT, FREQUENT_CHUNKS, OFTEN = 50_000, 4096, 64
 
 _GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 2**32, 256, dtype=np.uint32)
 _MASK = np.uint32(((1 << CUT_BITS) - 1) << (32 - CUT_BITS))
@@ -176,24 +178,48 @@ def store(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     media: a row for each medium (equal texts are one), with the ordered list of its chunks and the bytes of those that it owns.
     Of equal chunks the one whose (text key, place) is least owns the bytes; requests (k1, k2, digest, o1, o2) tell who
     borrows what from whom. Only digests are shuffled to find that out; texts are read a second time to store them, joined
-    with the lists of borrowed places, which go by broadcast while they are small and else by shuffle. copied rows: (doc_id, k1, k2) of texts that occur in several rows.
+    with the lists of borrowed places, which go by broadcast while they are small and else by shuffle, a text once however many
+    rows have it. copied rows: (doc_id, k1, k2, copies) of texts that occur in several rows.
+    Digests and texts that stand too often to meet in one task are joined by broadcast; there are FREQUENT of them at most.
     """
     small_batches(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key("text"), F.col("text").cast("string").alias("text"))
     listed = materialise(rows.mapInArrow(_digests, "doc_id long, k1 long, k2 long, chunks array<struct<digest:binary,length:int>>"), "digests")
-    copies = listed.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
-    places = listed.select("k1", "k2", F.posexplode("chunks").alias("place", "chunk")).select("k1", "k2", "place", F.col("chunk.digest").alias("digest"))
-    owner = places.groupBy("digest").agg(F.min(F.struct("k1", "k2", "place")).alias("owner"), F.max(F.struct("k1", "k2", "place")).alias("last")).where("owner <> last").select("digest", "owner")
-    borrowed = materialise(places.join(owner, "digest").where(F.struct("k1", "k2", "place") != F.col("owner")).distinct(), "borrowed")
+    texts = materialise(listed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("chunks").alias("chunks")), "texts")
+    copies = texts.where("copies > 1").select("k1", "k2", "copies")
+    places = texts.select("k1", "k2", F.posexplode("chunks").alias("place", "chunk")).select("k1", "k2", "place", F.col("chunk.digest").alias("digest"))
+    owner = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("owner")).where("n > 1")
+    owner = materialise(owner, "owners")
+    borrowed = _frequent_first(places, owner, ["digest"], "n").drop("n").where(F.struct("k1", "k2", "place") != F.col("owner"))
+    borrowed = materialise(borrowed, "borrowed")
     away = borrowed.groupBy("k1", "k2").agg(F.collect_list("place").alias("borrowed"))
     special = materialise(copies.join(away, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("copies", F.lit(1)).alias("copies"), "borrowed"), "special")
-    known = rows.join(sized(special, 120), ["k1", "k2"], "left")
-    single = known.where(F.coalesce("copies", F.lit(1)) == 1).select("doc_id", "k1", "k2", "borrowed", "text")
-    several = known.where("copies > 1").groupBy("k1", "k2").agg(F.first("borrowed").alias("borrowed"), F.first("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "k1", "k2", "borrowed", "text")
+    if fits(special, 120):
+        known = rows.join(F.broadcast(special), ["k1", "k2"], "left")
+        single = known.where(F.coalesce("copies", F.lit(1)) == 1).select("doc_id", "k1", "k2", "borrowed", "text")
+        several = known.where("copies > 1").groupBy("k1", "k2").agg(F.first("borrowed").alias("borrowed"), F.first("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "k1", "k2", "borrowed", "text")
+        each = single.union(several)
+    else:
+        one = rows.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))  # combined before the shuffle
+        each = one.join(special, ["k1", "k2"], "left").select(F.when(F.coalesce("copies", F.lit(1)) == 1, F.col("doc_id")).alias("doc_id"), "k1", "k2", "borrowed", "text")
     schema = f"doc_id long, k1 long, k2 long, n_bytes long, head binary, recipe {RECIPE}, owned binary, partly boolean"
-    media = materialise(single.union(several).mapInArrow(_store, schema), "media")
+    media = materialise(each.mapInArrow(_store, schema), "media")
     requests = borrowed.select("k1", "k2", "digest", F.col("owner.k1").alias("o1"), F.col("owner.k2").alias("o2")).distinct()
-    return media, requests, listed.join(copies, ["k1", "k2"], "left_semi").select("doc_id", "k1", "k2")
+    return media, requests, _frequent_first(listed.select("doc_id", "k1", "k2"), copies, ["k1", "k2"], "copies")
+
+
+def _frequent_first(rows: DataFrame, table: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """The inner join of rows with a table that has each key once, with the number of rows that have it.
+
+    Keys of so many rows that there can be FREQUENT of them at most are joined by broadcast, so that no task gets all rows of one; the
+    others by shuffle. A table that fits is broadcast whole.
+    """
+    if fits(table, 100):
+        return rows.join(F.broadcast(table), keys)
+    least = max(OFTEN, -(-(table.agg(F.sum(times)).first()[0] or 0) // FREQUENT))
+    often = F.broadcast(table.where(F.col(times) >= least))
+    rest = rows.join(F.broadcast(table.where(F.col(times) >= least).select(*keys)), keys, "left_anti")
+    return rows.join(often, keys).unionByName(rest.join(table.where(F.col(times) < least), keys))
 
 
 def media_columns(documents: DataFrame) -> DataFrame:
@@ -202,7 +228,8 @@ def media_columns(documents: DataFrame) -> DataFrame:
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes), media_bytes, media_sha256, feature.
     A payload is the text in UTF-8 (null: empty) with spaces up to a positive multiple of 192 bytes. Media that own all
     their chunks are read where they lie; only borrowed chunks are fetched by joins on their digests. A chunk that
-    lost its digest raises an error. Equal texts give equal values; repeated rows are returned each; only doc_id and text are read.
+    lost its digest raises an error. Equal texts give equal values; repeated rows are returned each; an empty table gives an empty one;
+    a text is cut and stored whole, however long. Only doc_id and text are read.
     """
     media, requests, copied = store(documents)
     schema = f"doc_id long, k1 long, k2 long, {RESULT}"
@@ -210,10 +237,17 @@ def media_columns(documents: DataFrame) -> DataFrame:
     whole = media.where("NOT partly").select(*columns).mapInArrow(_read, schema)
     wanted = requests.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), "digest").distinct().groupBy("k1", "k2").agg(F.collect_list("digest").alias("wanted"))
     lent = media.select("k1", "k2", "recipe", "owned").join(sized(materialise(wanted, "wanted"), 120), ["k1", "k2"]).select("recipe", "owned", "wanted").mapInArrow(_lent, "digest binary, chunk binary")
-    fetched = requests.select("k1", "k2", "digest").join(lent, "digest").groupBy("k1", "k2").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
+    # Chunks of many borrowers, FREQUENT_CHUNKS of at most MOST bytes, go to all tasks; of the others none is in many requests.
+    asked = materialise(requests, "requests")
+    lent = materialise(lent.join(asked.groupBy("digest").agg(F.count("*").alias("n")), "digest"), "lent")
+    least = max(OFTEN, -(-asked.count() // FREQUENT_CHUNKS))
+    often, rest = lent.where(F.col("n") >= least).select("digest", "chunk"), lent.where(F.col("n") < least).select("digest", "chunk")
+    cold = asked.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(rest, "digest")
+    brought = asked.join(F.broadcast(often), "digest").unionByName(cold)
+    fetched = brought.groupBy("k1", "k2").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
     partly = media.where("partly").join(fetched, ["k1", "k2"]).select(*columns, "fetched").mapInArrow(_read, schema)
     found = materialise(whole.union(partly), "found")
-    several = copied.join(found.where("doc_id IS NULL").drop("doc_id"), ["k1", "k2"]).select(*found.columns)
+    several = found.where("doc_id IS NULL").drop("doc_id").join(copied.groupBy("k1", "k2").agg(F.first("copies").alias("copies")), ["k1", "k2"])
     # A row whose doc_id is null, but whose text is no copy, is in neither part of the join.
     single = found.join(sized(materialise(copied.select("k1", "k2").distinct(), "copied"), 24), ["k1", "k2"], "left_anti").select(*found.columns)
-    return single.union(several).drop("k1", "k2")
+    return single.union(_frequent_first(copied.drop("copies"), several, ["k1", "k2"], "copies").select(*found.columns)).drop("k1", "k2")

@@ -396,9 +396,12 @@ def test_repeated_spans_edges(spark):
 # Media
 
 
-def test_media(spark, documents, texts):
+@pytest.mark.parametrize(("bound", "often"), [(24 << 20, 64), (0, 64), (0, 3)])
+def test_media(spark, texts, monkeypatch, bound, often):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(media, "OFTEN", often)
     shared = letters(9_000)
-    texts = texts + [shared, shared + "tail", "head" + shared, shared]
+    texts = texts + [shared, shared + "tail", "head" + shared, shared, shared, *(shared + str(i) for i in range(5))]
     found = collected(media.media_columns(frame(spark, list(enumerate(texts))).repartition(4)))
     assert len(found) == len(texts)
     for i, t in enumerate(texts):
