@@ -608,18 +608,15 @@ def test_quality(spark, judged):
     assert {round(r["p_document"], 6) for r in quality.classify(documents, labels.limit(0)).collect()} == {0.5}
 
 
-def test_quality_equals_brute_force(spark, judged, monkeypatch):
-    """Evidence by plain loops, posteriors by their formulas, over all rows."""
-    documents, labels = judged
-    model = quality.train(documents, labels)
-    rows = documents.select("doc_id", "text", "source", "lang").collect()
-    logits = [float(model.logit(quality.features(np.frombuffer(b := (r["text"] or "").encode(), np.uint8), np.array([0, len(b)])))[0]) for r in rows]
+def brute_quality(model, rows):
+    """p_quality of rows (text, host, path): evidence one text at a time, posteriors by their formulas."""
+    logits = [float(model.logit(quality.features(np.frombuffer(b := (text or "").encode(), np.uint8), np.array([0, len(b)])))[0]) for text, _, _ in rows]
     p = [1 / (1 + math.exp(-x)) for x in logits]
     mean = (sum(p) + 1) / (len(p) + 2)
     paths, hosts = collections.defaultdict(list), collections.defaultdict(list)
-    for r, x in zip(rows, p, strict=True):
-        paths[r["source"], r["lang"]].append(x)
-        hosts[r["source"]].append(x)
+    for (_, host, path), x in zip(rows, p, strict=True):
+        paths[host, path].append(x)
+        hosts[host].append(x)
 
     def strength(groups, centre):
         between = sum(len(x) * (sum(x) / len(x) - centre(k)) ** 2 for k, x in groups.items())
@@ -630,7 +627,15 @@ def test_quality_equals_brute_force(spark, judged, monkeypatch):
     at_host = {k: (sum(x) + k_host * mean) / (len(x) + k_host) for k, x in hosts.items()}
     k_path = strength(paths, lambda k: at_host[k[0]])
     site = {k: (sum(x) + k_path * at_host[k[0]]) / (len(x) + k_path) for k, x in paths.items()}
-    wanted = sorted((str(r["doc_id"]), 1 / (1 + math.exp(-(x + math.log(q / (1 - q)) - math.log(mean / (1 - mean)))))) for r, x in zip(rows, logits, strict=True) for q in [site[r["source"], r["lang"]]])
+    odds = lambda q: math.log(q / (1 - q))
+    return [1 / (1 + math.exp(-(x + odds(site[host, path]) - odds(mean)))) for (_, host, path), x in zip(rows, logits, strict=True)]
+
+
+def test_quality_equals_brute_force(spark, judged, monkeypatch):
+    documents, labels = judged
+    rows = documents.select("doc_id", "text", "source", "lang").collect()
+    p = brute_quality(quality.train(documents, labels), [tuple(r)[1:] for r in rows])
+    wanted = sorted((str(r["doc_id"]), x) for r, x in zip(rows, p, strict=True))
     found = sorted((str(r["doc_id"]), r["p_quality"]) for r in quality.classify(documents, labels).collect())
     assert [a for a, _ in found] == [a for a, _ in wanted] and [b for _, b in found] == pytest.approx([b for _, b in wanted])
     kept = sorted(str(r["doc_id"]) for r in quality.keep_good(documents, labels).collect())
@@ -680,6 +685,17 @@ def test_passages_of_words_that_came_before_are_found():
     assert model.damped(often, *model.find(often, scores)) == ([6.0], [(0, 1, 6.0)])
 
 
+def brute_segments(x, first=0):
+    """The recursive definition of all maximal segments: the best one, then the same left and right of it."""
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    low = np.minimum.accumulate(sums)
+    b = int(np.argmax(np.round(sums - low, 9)))
+    if sums[b] - low[b] <= 1e-9:
+        return []
+    a = int(np.flatnonzero(np.abs(sums[:b] - low[b]) < 1e-9)[-1])
+    return [*brute_segments(x[:a], first), (first + a, first + b - 1, sums[b] - sums[a]), *brute_segments(x[b:], first + b)]
+
+
 def test_passages_equal_brute_force(spark, judged):
     documents, labels = judged
     model = toxicity.train(documents, labels)
@@ -687,21 +703,11 @@ def test_passages_equal_brute_force(spark, judged):
     extra = spark.createDataFrame([(2000, "scum " * 3 + "clean " * 300 + "vile rotten scumbag wretch " * 2), (2001, "vile " * 5_000)], "doc_id long, text string")
     rows = documents.select("doc_id", "text").union(extra)
     texts = {r["doc_id"]: r["text"] for r in rows.collect()}
-
-    def best(x, first=0):
-        sums = np.concatenate([[0.0], np.cumsum(x)])
-        low = np.minimum.accumulate(sums)
-        b = int(np.argmax(np.round(sums - low, 9)))
-        if sums[b] - low[b] <= 1e-9:
-            return []
-        a = int(np.flatnonzero(np.abs(sums[:b] - low[b]) < 1e-9)[-1])
-        return [*best(x[:a], first), (first + a, first + b - 1, sums[b] - sums[a]), *best(x[b:], first + b)]
-
     scores = toxicity.Scores(model.known)
     n = 0
     for r in toxicity._scored(rows, [F.col("doc_id"), F.col("text")], model, True)[0].collect():
         words = list(toxicity.WORD.finditer((texts[r["doc_id"]] or "").lower()))
-        wanted = best(np.array([scores[m[0]] for m in words]))
+        wanted = brute_segments(np.array([scores[m[0]] for m in words]))
         assert [(p["start"], p["end"]) for p in r["passages"]] == [(words[a].start(), words[b].end()) for a, b, _ in wanted]
         assert [p["score"] for p in r["passages"]] == pytest.approx([s for *_, s in wanted])
         n += len(wanted)
