@@ -24,6 +24,8 @@ PER_TEXT = 2
 PRIOR = 2.0
 #: What a token without evidence of its own takes off a segment.
 GAP = 0.5
+#: The share of toxic rows that is taken for granted, with the weight of one row, where labels of a kind are missing.
+UNLABELLED = 0.1
 #: Scores stay between these.
 LOWEST, HIGHEST = -2.0, 8.0
 #: Words of fewer occurrences have no negative score of their own.
@@ -222,7 +224,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
     totals = {x["label"]: x["count"] for x in taken.groupBy("label").count().collect()}
     toxic, clean = sum(n for k, n in totals.items() if k), totals.get(0, 0)
     if not toxic or not clean:
-        rate = (toxic + 1) / (toxic + clean + 2)
+        rate = (toxic + UNLABELLED) / (toxic + clean + 1)
         return Model(intercept=float(np.log(rate / (1 - rate))))
     counts = taken.mapInArrow(_count_units, "unit string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("unit").agg(*(F.sum(c).alias(c) for c in COUNTS))
     counts = materialise(counts.withColumns({"toxic": F.col("toxic0") + F.col("toxic1"), "clean": F.col("clean0") + F.col("clean1")}), "units")
@@ -314,7 +316,7 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, label
     times at most. Scores are functions of the text alone; the model goes to the executors and its size is bounded by
     labelled_rows. Documents are scored where they lie, without a shuffle; a text is scanned whole, however long, in time linear in its length.
     A null or empty text has no passage and gets the score of no evidence. Repeated rows give repeated rows; a null doc_id isn't held out;
-    an empty table gives an empty one; without labels of both kinds every document gets the base rate.
+    an empty table gives an empty one; without labels of both kinds every document gets the labels' rate, UNLABELLED without any.
     Only doc_id and text are read.
     """
     model = train(documents, labels, labelled_rows)

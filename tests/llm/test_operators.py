@@ -730,7 +730,8 @@ def test_toxicity(spark, judged):
     left = toxicity.keep_harmless(documents, labels)
     assert left.columns == documents.columns and left.count() == sum(not r["predicted"] for r in found)
     assert toxicity.score(documents.limit(0), labels).count() == 0
-    assert len({r["score"] for r in toxicity.score(documents, labels.limit(0)).collect()}) == 1
+    assert {round(r["score"], 6) for r in toxicity.score(documents, labels.limit(0)).collect()} == {0.1}
+    assert toxicity.keep_harmless(documents, labels.limit(0)).count() == documents.count() == quality.keep_good(documents, labels.limit(0)).count()
 
 
 def test_labels_of_held_out_rows_dont_matter(spark, judged):
