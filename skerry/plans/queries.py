@@ -580,7 +580,7 @@ def robots_allowed(spark, sf):
     return table(spark, sf, "pages").crossJoin(rules).select("page_id", crawl.robots_allowed(F.col("rules"), crawl.url_path(F.col("url"))).alias("allowed"))
 
 
-# The pages as a web: page k links to 2k+1, 2k+2 (as its children) and k // 3, over five hosts; on host 3 robots refuse /p/1... but not /p/11...
+# The pages as a web: page k links to 2k+1, 2k+2 (as its children) and to page 0, over five hosts; on host 3 robots refuse /p/1... but not /p/11...
 _WEB = "web AS (SELECT page_id, 'http://host' || (page_id % 5) || '.example/p/' || page_id AS url, NOT (page_id % 5 = 3 AND starts_with(page_id::VARCHAR, '1') AND NOT starts_with(page_id::VARCHAR, '11')) AS free FROM pages)"
 
 
@@ -588,7 +588,7 @@ def _web(spark, sf) -> tuple[DataFrame, DataFrame]:
     url = lambda k: F.concat(F.lit("http://host"), (k % 5).cast("string"), F.lit(".example/p/"), k.cast("string"))
     k = F.col("page_id")
     link = lambda c: F.concat(F.lit('<a href="'), url(c), F.lit('#part">next</a>'))
-    web = table(spark, sf, "pages").select(url(k).alias("url"), F.concat("html", link(k * 2 + 1), link(k * 2 + 2), link(F.floor(k / 3).cast("long")), F.lit('<a href="mailto:x@y">write</a>')).alias("html"))
+    web = table(spark, sf, "pages").select(url(k).alias("url"), F.concat("html", link(k * 2 + 1), link(k * 2 + 2), link(k * 0), F.lit('<a href="mailto:x@y">write</a>')).alias("html"))
     robots = spark.createDataFrame([(f"host{i}.example", "User-agent: *\nDisallow: /p/1\nAllow: /p/11\n" if i == 3 else "# nothing\n") for i in range(5)], "domain string, txt string")
     return web, robots
 
