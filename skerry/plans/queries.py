@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.porter import porter_stem, stem_sql
-from ..functions.vectors import cosine, hash_embedding, min_max
+from ..functions.vectors import cosine, hash_bucket, hash_embedding, min_max
 from ..operators import analytics, collections, crawl, evaluate, graph, rank, semantic, suggest
 from ..operators import query as Q
 from ..operators.index import Index, analyze_plain, analyzed, build_index, remove_documents, update_documents
 from ..sources.cut import shared_folder, table_cut
-from ..sources.documents import documents_from_files, documents_from_table, html_text, html_title, synthetic_corpus, with_source_type
+from ..sources.documents import documents_from_files, documents_from_pages, documents_from_table, html_text, html_title, synthetic_corpus, with_source_type
 from ..sources.tables import load_index, save_index
 from ..streaming import limiter
 
@@ -823,3 +823,17 @@ def query_log_appended(spark, sf):
     log = analytics.QueryLog(spark, path)
     _log(spark, sf).select(*log.table().columns).write.mode("append").parquet(path)
     return log.table().select("id", "api_key", "query", "result_count")
+
+
+@query("""WITH w AS (SELECT p_partkey, p_name, [('0x' || substr(md5(p_name), 8 * k + 1, 8))::BIGINT for k in [0, 1, 2, 3]] AS v FROM part)
+    SELECT p_partkey, v[4] % 64 AS of_64, ((((v[1] % 10 * 6 + v[2]) % 10) * 6 + v[3]) % 10 * 6 + v[4]) % 10 AS of_10 FROM w""")
+def hash_buckets(spark, sf):
+    """The MD5 bucket of every part's name, for a number of buckets that divides 2^32 and for one that doesn't."""
+    return table(spark, sf, "part").select("p_partkey", hash_bucket(F.col("p_name"), 64).alias("of_64"), hash_bucket(F.col("p_name"), 10).alias("of_10"))
+
+
+@query(ORACLE_SQL["page_text"].replace("SELECT page_id, nullif(", "SELECT page_id AS doc_id, url AS source_path, 'web' AS source_type, coalesce(nullif(", 1).replace(" AS title,", ", url) AS title,", 1).replace(" AS text FROM bare", " AS raw_text FROM bare JOIN pages USING (page_id)").replace("SELECT page_id, html, regexp", "SELECT page_id, regexp").replace("regexp_extract(html,", "regexp_extract(pages.html,"))
+def web_documents(spark, sf):
+    """Fetched pages as documents of the type web."""
+    pages = table(spark, sf, "pages").select("url", "html", F.col("page_id").alias("crawl_order"))
+    return documents_from_pages(pages)
