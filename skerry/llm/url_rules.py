@@ -18,7 +18,7 @@ TOKEN = "[A-Za-z0-9]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern over host + path. tokens: whole [A-Za-z0-9]+ runs that each matching URL has; none: the rule is tried on all."""
+    """A pattern over host + path. tokens: [A-Za-z0-9]+ runs that each matching URL has, whole or with digits after them; none: the rule is tried on all."""
 
     name: str
     verdict: str
@@ -55,7 +55,8 @@ HOST_RULES = (
 OWN_RULES = (
     pattern_rule("spam-farm", "block", r"(?:[^/]*\.)?spam-farm\.[^/]*(?:/.*)?$", ("spam", "farm")),
     pattern_rule("casino", "block", r"[^/]*\bcasino\b", ("casino",)),
-    pattern_rule("adserver", "block", r"(?:[^/]*\.)?(?:ads|adserver)\d*\.", ()),
+    pattern_rule("ads", "block", r"(?:[^/]*\.)?ads\d*\.", ("ads",)),
+    pattern_rule("adserver", "block", r"(?:[^/]*\.)?adserver\d*\.", ("adserver",)),
     pattern_rule("login", "block", r"[^/]*/(?:.*/)?login(?:/|$)", ("login",)),
 )
 
@@ -65,7 +66,9 @@ def rarest_tokens(urls: DataFrame, column: str, rules: Iterable[Rule]) -> dict[s
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    tokens = F.array_intersect(F.regexp_extract_all(F.col(column).cast("string"), F.lit(f"({TOKEN})"), F.lit(1)), F.array(*map(F.lit, wanted)))
+    whole = F.regexp_extract_all(F.col(column).cast("string"), F.lit(f"({TOKEN})"), F.lit(1))
+    stripped = F.transform(whole, lambda t: F.regexp_replace(t, "[0-9]+$", ""))
+    tokens = F.array_intersect(F.concat(whole, stripped), F.array(*map(F.lit, wanted)))
     counted = urls.select(F.explode(tokens).alias("token")).groupBy("token").count().collect()
     return {t: 0 for t in wanted} | {x["token"]: x["count"] for x in counted}
 
@@ -103,7 +106,9 @@ def _judge(index: dict[str, list[Rule]], always: list[Rule], id_column: str, url
                 host, path = split_url(url)
                 subject = host + path
                 best = None
-                for rule in (r for rules in [always, *(index[t] for t in {*tokens(subject)} if t in index)] for r in rules):
+                found = {*tokens(subject)}
+                found |= {t.rstrip("0123456789") for t in found}
+                for rule in (r for rules in [always, *(index[t] for t in found if t in index)] for r in rules):
                     if compiled[rule](subject) and (best is None or (rule.listed, rule.weight, rule.name) > (best.listed, best.weight, best.name)):
                         best = rule
                 hosts.append(host)

@@ -788,6 +788,9 @@ def test_url_rules(spark):
         12: ("a://b://c.com/fr/", "b:", "//c.com/fr/", None, "allow"),
         13: ("https://ads.net/x", "ads.net", "/x", None, "block"),
         14: ("https://bads.net/x", "bads.net", "/x", None, "allow"),
+        15: ("https://x.ads12.net/x", "x.ads12.net", "/x", None, "block"),
+        16: ("https://adserver7.q.net", "adserver7.q.net", "", None, "block"),
+        17: ("https://ads12b.net/x", "ads12b.net", "/x", None, "allow"),
     }
     df = frame(spark, [(k, v[0]) for k, v in urls.items()], "page_id long, url string").drop("part")
     found = collected(url_rules.filter_urls(df), "page_id")
@@ -801,6 +804,7 @@ def test_rules_are_fetched_by_their_rarest_token():
     index, always = url_rules.build_index(rules, {"example": 5, "org": 9, "es": 2, "en": 7})
     assert {t: [r.name for r in v] for t, v in index.items()} == {"es": ["example.org/es/"], "example": ["example.org/en/1"]}
     assert [r.name for r in always] == ["p"]
+    assert not url_rules.build_index(url_rules.HOST_RULES + url_rules.OWN_RULES, {})[1]  # none of the rules in force runs on all URLs
 
 
 def test_math_is_finite():
