@@ -58,22 +58,54 @@ class _Terms(dict):
         self.terms = []
 
 
-def _analyze_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbered_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Callable[[np.ndarray], pa.Array]]]:
+    """For each batch with a column text: (batch, terms a document, the number of each document's every term, numbers -> terms)."""
     find = re.compile(TOKEN).findall
     known = _Terms()
+
+    def named(numbers: np.ndarray) -> pa.Array:
+        distinct, which = np.unique(numbers, return_inverse=True)
+        return pa.array([known.terms[k] for k in distinct.tolist()], pa.string()).take(pa.array(which))
+
     for batch in batches:
         if len(known) > _Terms.MOST:
             known.forget()
-        lengths, parts = [], []
+        parts = [np.zeros(0, np.int64)]
         for text in batch.column("text").to_pylist():
             tokens = find(text or "")
             numbers = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
             parts.append(numbers[numbers >= 0])
-            lengths.append(len(parts[-1]))
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        terms = pa.array(known.terms, pa.string()).take(pa.array(flat))
+        yield batch, np.array([len(x) for x in parts[1:]], np.int64), np.concatenate(parts), named
+
+
+def _analyze_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, lengths, numbers, named in _numbered_terms(batches):
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, terms)], ["doc_id", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, named(numbers))], ["doc_id", "terms"])
+
+
+def _index_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of the batches' documents, and a row without a term for each document, whose tf is its length."""
+    names = ["term", "doc_id", "tf", "positions"]
+    for batch, lengths, numbers, named in _numbered_terms(batches):
+        at, counts, owner, positions = _grouped(lengths, numbers)
+        ids = batch.column("doc_id")
+        yield pa.RecordBatch.from_arrays([named(at), ids.take(pa.array(owner)), pa.array(counts, pa.int32()), positions], names)
+        empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(lengths) + 1), pa.int32()), pa.array([], pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(lengths), pa.string()), ids, pa.array(lengths, pa.int32()), empty], names)
+
+
+def _grouped(lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(term number, count, document, positions) of each posting of documents of so many terms."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    order = np.lexsort((place, numbers, owner))
+    numbers, owner, place = numbers[order], owner[order], place[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (numbers[1:] != numbers[:-1])
+    at = np.flatnonzero(fresh)
+    ends = np.append(at, len(order))
+    return numbers[at], np.diff(ends), owner[at], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
 
 
 def analyzed(documents: DataFrame, text: str = "raw_text", analyzer: Analyzer | None = None) -> DataFrame:
@@ -162,21 +194,9 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         terms = batch.column("terms")
         flat = terms.flatten().dictionary_encode()
-        if not len(flat):
-            continue
         lengths = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        code = flat.indices.to_numpy().astype(np.int64)
-        order = np.lexsort((place, code, owner))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (owner[order][1:] != owner[order][:-1]) | (code[order][1:] != code[order][:-1])
-        at = np.flatnonzero(fresh)
-        counts = np.diff(np.append(at, len(order)))
-        yield pa.RecordBatch.from_arrays(
-            [flat.dictionary.take(pa.array(code[order][at])), batch.column("doc_id").take(pa.array(owner[order][at])), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(at, len(order)), pa.int32()), pa.array(place[order], pa.int32()))],
-            ["term", "doc_id", "tf", "positions"],
-        )
+        at, counts, owner, positions = _grouped(lengths, flat.indices.to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(at)), batch.column("doc_id").take(pa.array(owner)), pa.array(counts, pa.int32()), positions], ["term", "doc_id", "tf", "positions"])
 
 
 def inverted(terms: DataFrame) -> DataFrame:
@@ -187,11 +207,16 @@ def inverted(terms: DataFrame) -> DataFrame:
 def build_index(documents: DataFrame, text: str = "raw_text", analyzer: Analyzer | None = None, terms: DataFrame | None = None, cut: bool = False) -> Index:
     """Index documents(doc_id, text, ...), or ready-made (doc_id, terms). A document's id is expected once; see add_documents.
 
-    With cut the analysed documents are written to the shared folder, so that the index's tables don't analyse them each anew.
+    With cut the postings and lengths are written to the shared folder as one table, made by one pass over the texts, so that what
+    reads the index's tables doesn't analyse the texts anew.
 
     Documents without terms count, with length 0. Neither the map side nor the reduce side of a separate merge is needed: postings
     are complete in the task that reads the document.
     """
+    if cut and analyzer is None and terms is None:
+        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        rows = table_cut(rows.mapInArrow(_index_arrays, "term string, doc_id long, tf int, positions array<int>"), "index")
+        return Index(documents, rows.where("term IS NOT NULL"), rows.where("term IS NULL").select("doc_id", F.col("tf").alias("doc_len")))
     terms = analyzed(documents, text, analyzer) if terms is None else terms
     terms = table_cut(terms, "terms") if cut else terms
     return Index(documents, inverted(terms), terms.select("doc_id", F.size("terms").alias("doc_len")))

@@ -48,10 +48,8 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf: str) -> Index:
-    """The index of the documents; its postings are written once, since a query reads them several times."""
-    docs = documents(spark, sf)
-    built = build_index(docs, cut=True)
-    return Index(docs, table_cut(built.postings, "postings"), built.doc_stats)
+    """The index of the documents, written once, since a query reads it several times."""
+    return build_index(documents(spark, sf), cut=True)
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
