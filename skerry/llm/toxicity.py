@@ -48,10 +48,13 @@ class Scores(dict):
     def __init__(self, known: dict[str, float]):
         super().__init__()
         self.known = known
+        self.stems = {n: {u[2:]: s for u, s in known.items() if u.startswith(f"{n}>")} for n in STEMS}
 
     def __missing__(self, word: str) -> float:
-        score = next((self.known[u] for u in units(word) if u in self.known), -GAP)
-        if len(self) > 150_000:
+        score = self.known.get(word)
+        if score is None:
+            score = next((table[word[:n]] for n, table in self.stems.items() if len(word) >= n and word[:n] in table), -GAP)
+        if len(self) > 250_000:
             self.clear()
         self[word] = score
         return score
@@ -101,6 +104,9 @@ class Model:
         """
 
         def parts(a: int, b: int, times: Counter[str]) -> list[tuple[int, int, float]]:
+            if a == b:
+                times[words[a]] += 1
+                return [(a, a, float(values[a]))] if times[words[a]] <= PER_TEXT else []
             own = values[a : b + 1].copy()
             for i in np.flatnonzero(own > 0).tolist():
                 times[words[a + i]] += 1
@@ -108,7 +114,7 @@ class Model:
                     own[i] = -GAP
             return [(a + x, a + y, s) for x, y, s in segments(own)]
 
-        own = [max(s for *_, s in parts(a, b, Counter())) for a, b, _ in found]
+        own = [s if a == b else max(s for *_, s in parts(a, b, Counter())) for a, b, s in found]
         seen: Counter[str] = Counter()
         return own, [x for k in sorted(range(len(found)), key=lambda k: (-own[k], k)) for x in parts(*found[k][:2], seen)]
 
@@ -130,6 +136,14 @@ class Model:
         return float(1 / (1 + np.exp(-(self.intercept + self.slope * min(evidence, 25.0)))))
 
 
+def token_places(text: str, words: list[str]) -> tuple[list[int], list[int]]:
+    """Where each word of a text begins and ends, from the lengths of the words and of what stands between them."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    between = np.fromiter(map(len, WORD.split(text)), np.int64, len(words) + 1)
+    ends = np.cumsum(lengths + between[:-1])
+    return (ends - lengths).tolist(), ends.tolist()
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether CRC-32 of doc_id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -285,14 +299,15 @@ def _append(model: Model, text_column: str, passages: bool, names: list[str]):
         for batch in slices(batches, text_column):
             out, spans = [], []
             for text in batch.column(batch.schema.get_field_index(text_column)).to_pylist():
-                words = WORD.findall((text or "").lower())
+                low = (text or "").lower()
+                words = WORD.findall(low)
                 values, found = model.find(words, scores)
                 own, counted = model.damped(words, values, found)
                 out.append(model.probability(model.evidence(counted, len(words))))
                 if passages:
-                    places = [m.span() for m in WORD.finditer(text.lower())] if found else []
-                    each = [(a, b, s, float(-np.expm1(-model.size * max(len(words), 1) * np.exp(-model.rate * d)))) for (a, b, s), d in zip(found, own, strict=True)]
-                    spans.append([{"start": places[a][0], "end": places[b][1], "score": s, "p_value": p} for a, b, s, p in each])
+                    starts, ends = token_places(low, words) if found else ([], [])
+                    chances = -np.expm1(-model.size * max(len(words), 1) * np.exp(-model.rate * np.array(own)))
+                    spans.append([{"start": starts[a], "end": ends[b], "score": s, "p_value": p} for (a, b, s), p in zip(found, chances.tolist(), strict=True)])
             more = [pa.array(out, pa.float64())] + ([pa.array(spans, kind)] if passages else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names[: 1 + passages]])
 
