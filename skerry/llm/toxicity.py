@@ -234,14 +234,14 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
     # An id may stand in many rows: of its texts the one of least hash counts. Copies of a text are one piece of evidence.
     text = F.coalesce("text", F.lit(""))
     taken = taken.groupBy("id").agg(F.first("label").alias("label"), F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
-    taken = materialise(taken.groupBy("text").agg(F.max("label").alias("label")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "labelled")
+    taken = materialise(taken.groupBy("text").agg(F.max("label").alias("label")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "labelled", rows)
     totals = {x["label"]: x["count"] for x in taken.groupBy("label").count().collect()}
     toxic, clean = sum(n for k, n in totals.items() if k), totals.get(0, 0)
     if not toxic or not clean:
         rate = (toxic + UNLABELLED) / (toxic + clean + 1)
         return Model(intercept=float(np.log(rate / (1 - rate))))
     counts = taken.mapInArrow(_count_units, "unit string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("unit").agg(*(F.sum(c).alias(c) for c in COUNTS))
-    counts = materialise(counts.withColumns({"toxic": F.col("toxic0") + F.col("toxic1"), "clean": F.col("clean0") + F.col("clean1")}), "units")
+    counts = materialise(counts.withColumns({"toxic": F.col("toxic0") + F.col("toxic1"), "clean": F.col("clean0") + F.col("clean1")}), "units", rows)  # as many as the labelled rows make, whatever the input
     sums = counts.where(~F.col("unit").contains(">")).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS)).first()
     all_toxic, all_clean = max(sums["toxic0"] + sums["toxic1"], 1), max(sums["clean0"] + sums["clean1"], 1)
     # Units of toxic documents, words under their stems, and words that are often seen; the sample of rows bounds their number.
