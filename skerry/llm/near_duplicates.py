@@ -290,8 +290,9 @@ def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
     sketched = materialise(rows.mapInArrow(_sketch(size), "doc_id long, k1 long, k2 long, n_shingles long, node binary, signature binary"), "sketches")
     # Equal sets are one node; its text is any of theirs, so the least key.
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("k1", "k2")).alias("key"), F.first("signature").alias("signature"))
-    nodes = materialise(nodes, "nodes")
-    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * TREES // 400_000)
+    nodes = materialise(nodes, "nodes", sketched.count())
+    n_nodes = nodes.count()
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_nodes * TREES // 400_000)
     forest = nodes.select("node", "signature").mapInArrow(_tree_rows, "tree int, high long, low long, node binary")
     forest = forest.repartitionByRange(many, "tree", "high", "low", "node").sortWithinPartitions("tree", "high", "low", "node")
     proposed = materialise(forest.mapInArrow(_candidates, "a binary, b binary, seam long, tree int, high long, low long, node binary, crowded long"), "candidates")
@@ -302,7 +303,7 @@ def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
     labels = connected_components(links, links.count())
     # What crowded regions hide from the forest: a join that misses no link of the nodes in them.
     crowded = proposed.where("crowded IS NOT NULL").groupBy("node").agg(F.sum("crowded").alias("crowded")).where(F.col("crowded") > TREES - SAFE_TREES).select("node")
-    crowded = materialise(crowded, "crowded")
+    crowded = materialise(crowded, "crowded", n_nodes)
     if not crowded.isEmpty():
         untried, most = _exact_pairs(_texts(rows, nodes, crowded, crowded.count()), labels, size, percent), FIRST_ROUND
         while left := untried.count():

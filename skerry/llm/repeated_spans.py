@@ -373,6 +373,7 @@ def repeated_ranges(documents: DataFrame, span: int = 400) -> tuple[DataFrame, D
     rows = documents.select(*text_key("text"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= span)
     names = rows.mapInArrow(_names(span), "k1 long, k2 long, names array<struct<a:long,b:long>>")
     texts = materialise(names.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("names").alias("names")), "names")
+    n_texts = texts.count()
     each = texts.select("k1", F.explode("names").alias("name")).select("k1", "name.*")
     often = materialise(each.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("k1").alias("shown")).where("n > 1"), "often")
     total = texts.agg(F.coalesce(F.sum(F.size("names")), F.lit(0))).first()[0]
@@ -383,7 +384,7 @@ def repeated_ranges(documents: DataFrame, span: int = 400) -> tuple[DataFrame, D
     cold = both.select("k1", "k2", "copies", F.explode("cold").alias("name")).select("k1", "k2", "copies", "name.*").join(often.where(F.col("n") < least).select("a", "b", "shown"), ["a", "b"])
     cold = cold.groupBy("k1", "k2", "copies").agg(F.collect_list(F.struct("a", "b", (F.col("k1") == F.col("shown")).alias("first"))).alias("known"))
     known = both.where(F.size("hot") > 0).select("k1", "k2", "copies", F.col("hot").alias("known")).union(cold)
-    known = materialise(known.groupBy("k1", "k2", "copies").agg(F.flatten(F.collect_list("known")).alias("known")), "known")
+    known = materialise(known.groupBy("k1", "k2", "copies").agg(F.flatten(F.collect_list("known")).alias("known")), "known", n_texts)
     # One row of each text; texts without a repeated half stay out of the shuffle while the others' keys are few enough to broadcast.
     some = rows.join(F.broadcast(known.select("k1", "k2")), ["k1", "k2"], "left_semi") if fits(known, 24) else rows
     chosen = some.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(known.hint("shuffle_merge"), ["k1", "k2"])
@@ -391,7 +392,7 @@ def repeated_ranges(documents: DataFrame, span: int = 400) -> tuple[DataFrame, D
     parts = found.where("ranges IS NOT NULL").select("k1", "k2", "ranges")
     level = found.where("context IS NOT NULL").drop("ranges")
     while True:
-        large = materialise(level.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key"), "large")
+        large = materialise(level.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key"), "large", level.count() // GROUP)
         over = not large.isEmpty()
         small = level.join(sized(large, 40), "key", "left_anti") if over else level
         parts = parts.union(small.repartition("key").sortWithinPartitions("key").mapInArrow(_judge(span), f"k1 long, k2 long, ranges {RANGES}"))
@@ -407,7 +408,7 @@ def repeated_ranges(documents: DataFrame, span: int = 400) -> tuple[DataFrame, D
     gathered = parts.groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("ranges"))).alias("ranges"))
     merged = gathered.mapInArrow(_merged, f"k1 long, k2 long, ranges {RANGES}")
     merged = merged.join(sized(several.select("k1", "k2"), 24), ["k1", "k2"], "left_anti")
-    return materialise(merged.union(several.select("k1", "k2", everything.alias("ranges"))), "ranges"), several
+    return materialise(merged.union(several.select("k1", "k2", everything.alias("ranges"))), "ranges", n_texts), several
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
