@@ -393,6 +393,15 @@ def test_repeated_spans_edges(spark):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in left.collect()) == [("2", "None"), ("3", "clean"), ("None", "head ")]
 
 
+def test_repeated_spans_without_copies_of_a_text(spark, monkeypatch):
+    """As after near duplicates: no text stands twice, and the ranges are too many for a broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    shared, heads = letters(300), [letters(250, seed) for seed in (1, 2, 3)]
+    df = frame(spark, [(i, f"{x} {shared}") for i, x in enumerate(heads)])
+    left = collected(spans.drop_repeated(df, 200))
+    assert [left[i]["text"] for i in range(3)] == heads
+
+
 # Media
 
 
