@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from skerry.operators import evaluate, rank, semantic, suggest
 from skerry.operators import query as Q
 from skerry.operators.index import Index, add_documents, build_index, empty_index, grouped_postings_of, remove_documents, update_documents
+from skerry.plans.queries import QUERIES
 
 TEXTS = [
     (1, "python is a programming language", "txt"),
@@ -121,6 +123,39 @@ def test_tfidf_and_cosine(spark, built):
     assert maps.first()["c"] == pytest.approx(0.5)
 
 
+@pytest.mark.parametrize(("block", "cells", "dense"), [(4096, 1 << 20, 0.05), (3, 4, 0.05), (5, 7, 2.0)])
+def test_batch_cosine(spark, monkeypatch, block, cells, dense):
+    """Against sparse_cosine: the same pairs, with weights of 0 and below, sums of 0, a vector of magnitude 0, nulls and repeated terms."""
+    for name, value in (("BLOCK_VECTORS", block), ("CELLS", cells), ("PRODUCTS", cells), ("DENSE", dense)):
+        monkeypatch.setattr(rank, name, value)
+    r = random.Random(3)
+    rows = [(i, f"t{min(r.randrange(1, 30), r.randrange(1, 30))}", r.choice([0.0, 0.5, 1.0, 2.5, -1.0])) for i in range(25) for _ in range(r.randrange(1, 9))]
+    rows += [(40, "t1", 0.0), (41, "t1", 1.0), (41, "t2", -1.0), (42, "t1", 1.0), (42, "t2", 1.0), (43, "alone", 1.0), (None, "t1", 1.0), (44, None, 1.0)]
+    b = spark.createDataFrame(rows, "d long, term string, weight double").groupBy("d", "term").agg(F.sum("weight").alias("weight"))
+    a = b.where("d % 3 = 0 OR d > 30").withColumnRenamed("d", "q")
+    wanted = {(x["q"], x["d"]): x["cosine"] for x in rank.sparse_cosine(a, b, "q", "d").collect()}
+    found = rank.batch_cosine(rank.whole_vectors(a, "q"), rank.whole_vectors(b, "d"), "q", "d").collect()
+    assert len(found) == len(wanted)
+    assert {(x["q"], x["d"]): x["cosine"] for x in found} == pytest.approx(wanted, abs=1e-12)
+    none = rank.whole_vectors(a.limit(0), "q")
+    assert rank.batch_cosine(none, rank.whole_vectors(b, "d"), "q", "d").count() == 0
+
+
+@pytest.mark.parametrize("often", [300_000, 5, 0])
+def test_whole_tfidf_vectors(spark, monkeypatch, often):
+    monkeypatch.setattr(rank, "OFTEN_TERMS", often)
+    documents = make(spark, [*TEXTS, (None, "python without an id", "txt"), (5, None, "txt")]).documents
+    wanted = {x["doc_id"]: x for x in rank.whole_vectors(rank.tfidf_vectors(build_index(documents)), "doc_id").collect()}
+    found = [x for x in rank.whole_tfidf_vectors(documents).collect() if x["terms"]]
+    assert {x["doc_id"]: dict(zip(x["terms"], x["weights"], strict=True)) for x in found} == {k: pytest.approx(dict(zip(x["terms"], x["weights"], strict=True))) for k, x in wanted.items()}
+    assert [x["size"] for x in found] == pytest.approx([wanted[x["doc_id"]]["size"] for x in found])
+
+
+def test_cosine_query_shuffles_no_pairs(spark):
+    plan = QUERIES["tfidf_cosine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_rank_and_blend(spark):
     scores = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 1.0)], "doc_id long, score double")
     assert [r["doc_id"] for r in rank.rank(scores).collect()] == [2, 1, 3]
