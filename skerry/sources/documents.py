@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html import escape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -68,6 +69,14 @@ def title_of(html: str | None) -> str | None:
     return (_parsed(html).title or "").strip() or None
 
 
+_REFERENCE = re.compile(r"&(#\d+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)?")
+
+
+def closed_only(html: str | None) -> str | None:
+    """The page with such ampersands escaped as begin no character reference that its semicolon closes; these then stay as they are written."""
+    return html and _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else f"&amp;{m[1] or ''}", html)
+
+
 _INLINE = (
     (re.compile(r"(`+)(.+?)\1", re.DOTALL), lambda m: f"<code>{escape(m[2].strip(), False)}</code>"),
     (re.compile(r"!\[([^\]]*)\]\([^)]*\)"), lambda m: ""),
@@ -123,6 +132,16 @@ def html_title(html: pd.Series) -> pd.Series:
     return html.map(title_of)
 
 
+@F.pandas_udf(StringType())
+def closed_html_text(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: text_of(closed_only(x)))
+
+
+@F.pandas_udf(StringType())
+def closed_html_title(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: title_of(closed_only(x)))
+
+
 @F.pandas_udf(StringType())
 def markdown_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: text_of(markdown_to_html(t or "")))
