@@ -219,9 +219,10 @@ def documents_from_table(table: DataFrame, doc_id: str = "doc_id", text: str = "
     return table.select(F.col(doc_id).alias("doc_id"), F.concat(F.lit("doc-"), F.col(doc_id).cast("string")).alias("source_path"), F.col(source).alias("source_type"), F.concat(F.lit("doc-"), F.col(doc_id).cast("string")).alias("title"), F.col(text).alias("raw_text"))
 
 
-def documents_from_pages(pages: DataFrame) -> DataFrame:
-    """Fetched pages(url, html, crawl_order) as documents of type web."""
-    return pages.select(F.col("crawl_order").cast("long").alias("doc_id"), F.col("url").alias("source_path"), F.lit("web").alias("source_type"), F.coalesce(html_title("html"), "url").alias("title"), html_text("html").alias("raw_text"))
+def documents_from_pages(pages: DataFrame, open_references: bool = True) -> DataFrame:
+    """Fetched pages(url, html, crawl_order) as documents of type web. open_references: whether character references without a semicolon are decoded too, as browsers do."""
+    text, title = (html_text, html_title) if open_references else (closed_html_text, closed_html_title)
+    return pages.select(F.col("crawl_order").cast("long").alias("doc_id"), F.col("url").alias("source_path"), F.lit("web").alias("source_type"), F.coalesce(title("html"), "url").alias("title"), text("html").alias("raw_text"))
 
 
 def load_embeddings(spark: SparkSession, path: str) -> DataFrame:

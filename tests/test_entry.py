@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(found.columns, map(tuple, found.collect())) == rows(columns, wanted.fetchall())
 
 
-@pytest.mark.parametrize("name", ["page_text"])
+@pytest.mark.parametrize("name", ["page_text", "web_documents"])
 def test_pages_with_references_that_are_cut_short(spark, duck, tmp_path, name):
     html = ["<title>one &amp two&amp</title><p>a &amp; b</p><h1>cut &lt</h1>&quot;x&quot <i>&ampx; &am</i> &", "<p>&copy;&copy &middot&middot;</p>", "<title>&amp</title>", ""]
     spark.createDataFrame([(i, f"https://h/{i}", x) for i, x in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
