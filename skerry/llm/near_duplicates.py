@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, mix64, sized, slices, small_batches, text_key, utf8
+from .common import FEW_FILES, fresh, materialise, mix64, sized, slices, small_batches, text_key, utf8
 from .components import connected_components
 from .words import shingles
 
@@ -32,6 +32,8 @@ SAFE_TREES = 10
 SAMPLE, FREQUENT = 10_000, 500_000
 #: Rows of one shingle that meet in a task of the exact join.
 TOGETHER = 1024
+#: So many texts are gathered by few tasks.
+FEW_TEXTS = 50_000
 #: The exact join's pairs are confirmed in rounds: so many a node in the first, four times as many in each next one, until none is left.
 FIRST_ROUND = 16
 
@@ -244,7 +246,7 @@ def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, rows_wanted: in
     """node, text: a text of each wanted node; rows_wanted bounds their number, where a bound is known."""
     wanted = materialise(wanted.join(nodes, "node").select("node", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2")), "wanted", rows_wanted)
     texts = rows.select("k1", "k2", "text").join(sized(wanted, 100), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
-    return materialise(texts, "texts")
+    return materialise(texts.coalesce(FEW_FILES) if wanted.count() <= FEW_TEXTS else texts, "texts")
 
 
 def _exact_pairs(texts: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
@@ -257,7 +259,7 @@ def _exact_pairs(texts: DataFrame, labels: DataFrame, size: int, percent: int) -
     places = materialise(texts.mapInArrow(_prefix_rows(size, percent, frequent[order], often["times"].to_numpy(np.int64)[order]), "shingle long, node binary, n int, left int"), "prefixes")
     of = texts.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     sizes = of.groupBy("component").agg(F.count("*").alias("members"))
-    of = materialise(of.join(sizes, "component").select("node", F.xxhash64("component").alias("of"), "members"), "components", texts.count())
+    of = materialise(of.join(sizes, "component").select("node", F.xxhash64("component").alias("of"), "members"), "components", texts.count(), True)
     places = places.join(sized(of, 80), "node")
     # Within a component nothing is left to find; of each shingle's rows only those outside its largest component meet all others.
     shared = places.groupBy("shingle").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.max(F.struct("members", "of"))["of"].alias("main"), F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
@@ -275,7 +277,7 @@ def _confirmed(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, sketch: Data
     """The pairs (a, b) of nodes that are linked: sifted by their signatures, then decided on the full sets of a text of each. most bounds the pairs, where a bound is known."""
     for side in "ab":
         pairs = pairs.join(sketch.withColumnsRenamed({"node": side, "sketch": f"sketch_{side}"}), side)
-    likely = materialise(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(percent), "a binary, b binary"), "likely", most)
+    likely = materialise(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(percent), "a binary, b binary"), "likely", most, True)
     most = likely.count()
     texts = _texts(rows, nodes, likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct(), 2 * most)
     for side in "ab":
@@ -290,7 +292,7 @@ def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
     sketched = materialise(rows.mapInArrow(_sketch(size), "doc_id long, k1 long, k2 long, n_shingles long, node binary, signature binary"), "sketches")
     # Equal sets are one node; its text is any of theirs, so the least key.
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("k1", "k2")).alias("key"), F.first("signature").alias("signature"))
-    nodes = materialise(nodes, "nodes", sketched.count())
+    nodes = materialise(nodes, "nodes", sketched.count(), True)
     n_nodes = nodes.count()
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_nodes * TREES // 400_000)
     forest = nodes.select("node", "signature").mapInArrow(_tree_rows, "tree int, high long, low long, node binary")
@@ -303,11 +305,11 @@ def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
     labels = connected_components(links, links.count())
     # What crowded regions hide from the forest: a join that misses no link of the nodes in them.
     crowded = proposed.where("crowded IS NOT NULL").groupBy("node").agg(F.sum("crowded").alias("crowded")).where(F.col("crowded") > TREES - SAFE_TREES).select("node")
-    crowded = materialise(crowded, "crowded", n_nodes)
+    crowded = materialise(crowded, "crowded", n_nodes, True)
     if not crowded.isEmpty():
         untried, most = _exact_pairs(_texts(rows, nodes, crowded, crowded.count()), labels, size, percent), FIRST_ROUND
         while left := untried.count():
-            ranked = materialise(untried.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("best"), "b"))), "ranked", left)
+            ranked = materialise(untried.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("best"), "b"))), "ranked", left, True)
             new = _confirmed(rows, nodes, ranked.where(F.col("rank") <= most).select("a", "b"), sketch, size, percent, left)
             if found := new.count():
                 labels = connected_components(new.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))), found + labels.count())
@@ -315,7 +317,7 @@ def _linked(documents: DataFrame, size: int, percent: int) -> DataFrame:
             for side in "ab":
                 untried = untried.join(labels.withColumnsRenamed({"node": side, "component": f"of_{side}"}), side, "left")
             apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-            untried, most = materialise(untried.where(apart).select("a", "b", "best"), "untried", left), 4 * most
+            untried, most = materialise(untried.where(apart).select("a", "b", "best"), "untried", left, True), 4 * most
     joined = nodes.select("node", "doc_id").join(labels, "node")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = joined.join(least, "component").select("node", "component_id")

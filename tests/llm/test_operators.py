@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import operator
+import os
 import random
 import time
 import zlib
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 import skerry.llm.near_duplicates as near
 import skerry.llm.repeated_spans as spans
-from skerry.llm import bpe, common, html_blocks, media, packing, quality, topk, toxicity, url_rules
+from skerry.llm import bpe, common, components, html_blocks, media, packing, quality, topk, toxicity, url_rules
 from skerry.llm.common import utf8
 from skerry.llm.components import connected_components
 from skerry.llm.suffix_array import suffix_array
@@ -303,6 +304,32 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("alone", [0, 30, 100_000])
+def test_components_of_a_small_graph_need_two_tables(spark, monkeypatch, alone):
+    r = random.Random(7)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(180)]
+    root = list(range(400))
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    made = []
+    write = components.materialise
+    monkeypatch.setattr(components, "ALONE", alone, raising=False)
+    monkeypatch.setattr(components, "materialise", lambda df, name, *more: made.append(name) or write(df, name, *more))
+    found = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert found == {x: root[x] for a, b in edges if a != b for x in (a, b)}
+    assert made == ["edges", "labels"] or alone < 100_000
+
+
+def test_few_rows_are_few_files_without_checksums(spark):
+    df = spark.range(0, 1000, 1, 64)
+    for narrow in (False, True):
+        out = common.materialise(df, "test", 1000, narrow)
+        files = [f.removeprefix("file://") for f in out.inputFiles()]
+        assert len(files) == 1 and out.count() == 1000
+        assert os.listdir(os.path.dirname(files[0])) == [os.path.basename(files[0])]
+
+
 # Suffix arrays and repeated spans
 
 
