@@ -386,6 +386,17 @@ def test_repeated_spans(spark, monkeypatch, span, group, often, bound):
     assert [tuple(found[i])[1:5] for i in range(len(texts))] == brute_spans(texts, span)
 
 
+def test_groups_of_all_rounds_are_judged_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(spans, "GROUP", 2)
+    passes = []
+    judge = spans._judge
+    monkeypatch.setattr(spans, "_judge", lambda span: passes.append(span) or judge(span))
+    texts = span_texts()
+    found = collected(spans.removal_digests(frame(spark, list(enumerate(texts))), 150))
+    assert [tuple(found[i])[1:5] for i in range(len(texts))] == brute_spans(texts, 150)
+    assert passes == [150]
+
+
 def test_spans_in_a_very_long_text(spark):
     r = random.Random(9)
     long = "".join(r.choice("abcdefgh ") for _ in range(700_000))
