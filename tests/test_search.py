@@ -151,6 +151,29 @@ def test_whole_tfidf_vectors(spark, monkeypatch, often):
     assert [x["size"] for x in found] == pytest.approx([wanted[x["doc_id"]]["size"] for x in found])
 
 
+@pytest.mark.parametrize(("levels", "bits"), [(4, 24), (4, 1), (1, 3), (0, 24)])
+def test_whole_tfidf_vectors_by_levels(spark, monkeypatch, levels, bits):
+    """Frequencies without names, where terms meet in slots and where some are over what a level's byte holds."""
+    for name, value in (("OFTEN_TERMS", 2), ("LEVELS", levels), ("SLOT_BITS", bits)):
+        monkeypatch.setattr(rank, name, value)
+    r = random.Random(5)
+    rows = [(i, " ".join(["over", "often", "most", *(f"w{min(r.randrange(1, 60), r.randrange(1, 60))}" for _ in range(9))]), "txt") for i in range(300)]
+    documents = make(spark, rows).documents
+    wanted = {x["doc_id"]: x for x in rank.whole_vectors(rank.tfidf_vectors(build_index(documents)), "doc_id").collect()}
+    found = rank.whole_tfidf_vectors(documents).collect()
+    assert {x["doc_id"]: dict(zip(x["terms"], x["weights"], strict=True)) for x in found} == {k: pytest.approx(dict(zip(x["terms"], x["weights"], strict=True))) for k, x in wanted.items()}
+    assert [x["size"] for x in found] == pytest.approx([wanted[x["doc_id"]]["size"] for x in found])
+
+
+def test_rare_terms_shuffle_no_documents(spark, monkeypatch):
+    plans = {}
+    cut = rank.table_cut
+    monkeypatch.setattr(rank, "table_cut", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and cut(df, name))
+    monkeypatch.setattr(rank, "OFTEN_TERMS", 5)
+    assert rank.whole_tfidf_vectors(make(spark, TEXTS).documents).count() == len(TEXTS)
+    assert "Exchange" not in plans["vectors"] and "Join" not in plans["vectors"]
+
+
 def test_cosine_query_shuffles_no_pairs(spark):
     plan = QUERIES["tfidf_cosine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
